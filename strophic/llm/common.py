@@ -7,6 +7,7 @@ keys, and connected components over an edge table.
 
 from __future__ import annotations
 
+import gc
 import math
 import tempfile
 import uuid
@@ -87,7 +88,7 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
     )
     spread = F.coalesce(F.col(OWN + "salts"), F.lit(1))
     # at most rows(left) / rows_per_salt keys are heavy; past that bound Spark picks a shuffled join itself
-    light = left.join(heavy, key, "left").withColumn(OWN + "salt", F.pmod(F.monotonically_increasing_id(), spread.cast("long")).cast("int")).drop(OWN + "salts")
+    light = left.join(heavy, key, "left").withColumn(OWN + "salt", F.pmod(F.xxhash64(*left.columns), spread.cast("long")).cast("int")).drop(OWN + "salts")
     copied = right.join(heavy, key, "left").withColumn(OWN + "salt", F.explode(F.sequence(F.lit(0), spread - 1))).drop(OWN + "salts")
     return light.join(copied, [key, OWN + "salt"], how).drop(OWN + "salt")
 
@@ -118,5 +119,11 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
             return label.select(F.col("x").alias("node"), F.col("r").alias("root"))
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files of finished steps now: it does so when the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def null_as_empty(text: str | Column) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
