@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, fingerprints, packing, token_files
+from . import decontamination, fingerprints, packing, passages, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,5 +28,9 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op3_canonical_digest, op4_token_files, op5_best_fit_packing, op8_benchmark_decontamination)}
+def op9_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_canonical_digest, op4_token_files, op5_best_fit_packing, op8_benchmark_decontamination, op9_phrase_automata)}
 ORACLE_SQL: dict[str, str] = {}
