@@ -9,7 +9,10 @@ description; any other tokenizer gets whole texts:
 * a ``Split`` that drops white space, after normalisers that work on one character or compose marks:
   pieces are runs without white space.
 
-The worker's table of pieces is emptied when it is full, so memory is bounded; nothing else is.
+A further cut before punctuation that follows an ASCII or Latin-1 letter or an ASCII digit is safe for both: their
+patterns never match across it. Pieces are found on the bytes of many texts at once and looked up by a 64-bit hash.
+
+The worker's table of pieces is emptied when it is full, so memory is bounded.
 """
 
 from __future__ import annotations
@@ -19,8 +22,17 @@ import re
 
 import numpy as np
 
+from .words import _LOWER, SPACED, U, byte_hashes
+
 #: Pieces that a Python worker remembers (about 150 bytes each).
-REMEMBERED = 600_000
+REMEMBERED = 1_500_000
+_SLOTS = 21
+_byte = np.arange(256)
+_LETTER = ((_byte | 32) >= 0x61) & ((_byte | 32) <= 0x7A) & (_byte < 0x80) | (_byte >= 0x30) & (_byte <= 0x39)
+_PUNCT = (_byte > 0x20) & (_byte < 0x7F) & ~_LETTER
+_BLANK = (_byte == 0x20) | (_byte == 0x0A)
+#: Bytes of which a text may have white space other than these two
+_UNSURE = (_byte < 0x20) & ~_BLANK | np.isin(_byte, [0xC2, 0xE1, 0xE2, 0xE3])
 _OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　\x00]")
 _INFO_SPACE = re.compile("[\x1c-\x1f]")
 _open: dict[str, "Encoder"] = {}
@@ -32,7 +44,7 @@ def split_kind(spec: dict) -> str:
         return "byte"
     steps = pre.get("pretokenizers") or [{}]
     safe = {"NFC", "Lowercase"}
-    drops = steps[0].get("type") == "Split" and steps[0].get("behavior") == "Removed" and steps[0].get("invert") and "\\s\\p{L}\\p{N}]+" in str(steps[0].get("pattern"))
+    drops = steps[0].get("type") == "Split" and steps[0].get("behavior") == "Removed" and steps[0].get("invert") and str(dict(steps[0].get("pattern") or {}).get("Regex")).endswith("[^\\s\\p{L}\\p{N}]+")
     plain = [n for n in (norm or {}).get("normalizers", []) if n["type"] not in safe and not (n["type"] == "Replace" and n["pattern"] == {"Regex": "\\s+"} and n["content"] == " ")]
     rest = [s for s in steps[1:] if not (s.get("type") == "ByteLevel" and not s.get("use_regex") and not s.get("add_prefix_space"))]
     return "space" if drops and not plain and not rest and (norm or {}).get("type") == "Sequence" else "whole"
@@ -47,9 +59,20 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         with open(path, encoding="utf-8") as f:
-            self.kind = split_kind(json.load(f))
+            spec = json.load(f)
+        self.kind = split_kind(spec)
+        own = [a for a in spec.get("added_tokens") or () if a["special"] and not (a["normalized"] or a["single_word"] or a["lstrip"] or a["rstrip"])]
+        self.mark, self.mark_id = (own[0]["content"], own[0]["id"]) if own else (None, None)
+        self.marked = Tokenizer.from_file(path) if own else None
+        self.marks = [a["content"] for a in spec.get("added_tokens") or ()]
         self.known: dict[str, bytes] = {}
         self.remembered = remembered
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.at, self.size = np.zeros(1 << _SLOTS, U), np.zeros(1 << _SLOTS, np.int64), np.zeros(1 << _SLOTS, np.int64)
+        self.places: dict[int, tuple[int, int]] = {}
+        self.flat, self.used = np.empty(1 << 16, "<u4"), 0
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -63,6 +86,21 @@ class Encoder:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def each(self, pieces: list[str]) -> list[bytes]:
+        """Ids of many short pieces: a special token between two pieces keeps them apart, and one long text is cheaper than many short ones."""
+        if self.mark is None or any(m in p for m in self.marks for p in pieces):
+            return self.whole(pieces)
+        out: list[bytes] = []
+        runs = [pieces[a : a + 512] for a in range(0, len(pieces), 512)]
+        for run, e in zip(runs, self.marked.encode_batch([self.mark.join(r) for r in runs], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids)).tolist()
+            raw, at = ids.tobytes(), 0
+            for end in ends:
+                out.append(raw[4 * at : 4 * end])
+                at = end + 1
+        return out
+
     def pieces(self, text: str) -> list[str] | None:
         """None: the text has to be encoded whole."""
         if self.kind == "space":
@@ -88,17 +126,84 @@ class Encoder:
             for k, ids in zip(odd, self.whole([texts[k] for k in odd])):
                 out[k] = ids
         known = self.known
+        new = list(set().union(*(p for p in split if p is not None)).difference(known))
+        if len(known) + len(new) > self.remembered:
+            known.clear()
+            new = list(set().union(*(p for p in split if p is not None)))
+        known.update(zip(new, self.each(new)))
         for k, p in enumerate(split):
-            if p is None:
-                continue
-            try:
-                out[k] = b"".join(map(known.__getitem__, p))
-            except KeyError:
-                new = [x for x in set(p) if x not in known]
-                if len(known) + len(new) > self.remembered:
-                    known.clear()
-                    new = list(set(p))
-                for a in range(0, len(new), 4096):
-                    known.update(zip(new[a : a + 4096], self.whole(new[a : a + 4096])))
+            if p is not None:
                 out[k] = b"".join(map(known.__getitem__, p))
         return out
+
+    def _pieces_of_bytes(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Byte ranges of the pieces of some texts; texts that need the slow way must be empty here."""
+        cut = np.zeros(len(data) + 1, bool)
+        cut[off] = True
+        letter = _LETTER[data]
+        if len(data) > 1:  # the second byte of a Latin-1 letter
+            letter[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] < 0xC0) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+        begins = cut[:-1].copy()
+        begins[1:] |= _PUNCT[data[1:]] & letter[:-1]
+        if self.kind == "byte":
+            blank = _BLANK[data]
+            begins[1:] |= blank[1:] & ~blank[:-1]
+            start = np.flatnonzero(begins)
+            return start, np.append(start[1:], len(data))
+        inside = SPACED[data]
+        begins[1:] |= ~inside[:-1]
+        ends = ~np.append(inside[1:], False) | cut[1:]
+        ends[:-1] |= begins[1:]
+        return np.flatnonzero(begins & inside), np.flatnonzero(ends & inside) + 1
+
+    def _learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the ids of pieces that aren't in the quick table."""
+        names = h.tolist()
+        new = [k for k, x in enumerate(names) if x not in self.places]
+        if new:
+            ids = self.each([data[start[k] : end[k]].tobytes().decode() for k in new])
+            need = sum(map(len, ids)) // 4
+            if self.used + need > len(self.flat):
+                self.flat = np.concatenate([self.flat[: self.used], np.empty(2 * need + self.used, "<u4")])
+            for k, x in zip(new, ids):
+                self.places[names[k]] = self.used, len(x) // 4
+                self.flat[self.used : self.used + len(x) // 4] = np.frombuffer(x, "<u4")
+                self.used += len(x) // 4
+        at, size = (np.array(c, np.int64) for c in zip(*(self.places[x] for x in names)))
+        slot = (h >> U(64 - _SLOTS)).astype(np.int64)
+        self.keys[slot], self.at[slot], self.size[slot] = h, at, size
+        return at, size
+
+    def encode_bytes(self, data: np.ndarray, off: np.ndarray) -> list[bytes]:
+        """The ids of each of some texts, given as their bytes in a row and their offsets."""
+        n = len(off) - 1
+        if self.kind == "whole":
+            return self.whole([data[a:b].tobytes().decode() for a, b in zip(off[:-1], off[1:])])
+        slow: list[int] = []
+        if self.kind == "byte":
+            unsure = np.concatenate([[0], np.cumsum(_UNSURE[data])])[off]
+            slow = np.flatnonzero(np.diff(unsure)).tolist()
+        else:
+            data = _LOWER[data]
+        odd = dict(zip(slow, self.encode([data[off[k] : off[k + 1]].tobytes().decode() for k in slow]))) if slow else {}
+        if slow:
+            keep = np.repeat(~np.isin(np.arange(n), slow), np.diff(off))
+            sizes = np.diff(off)
+            sizes[slow] = 0
+            data, off = data[keep], np.concatenate([[0], np.cumsum(sizes)])
+        if len(self.places) > self.remembered:
+            self._forget()
+        start, end = self._pieces_of_bytes(data, off)
+        if not len(start):
+            return [odd.get(k, b"") for k in range(n)]
+        h = byte_hashes(data, start, end)
+        slot = (h >> U(64 - _SLOTS)).astype(np.int64)
+        at, size, miss = self.at[slot], self.size[slot], np.flatnonzero(self.keys[slot] != h)
+        if len(miss):
+            own, first, back = np.unique(h[miss], return_index=True, return_inverse=True)
+            own_at, own_size = self._learn(data, start[miss[first]], end[miss[first]], own)
+            at[miss], size[miss] = own_at[back], own_size[back]
+        ends = np.cumsum(size)
+        raw = self.flat[np.repeat(at - ends + size, size) + np.arange(ends[-1])].tobytes()
+        bound = (4 * np.concatenate([[0], ends])[np.searchsorted(start, off)]).tolist()
+        return [odd[k] if k in odd else raw[bound[k] : bound[k + 1]] for k in range(n)]

@@ -38,10 +38,10 @@ def _cut(tokenizer: str, end: int, capacity: int, keep_ids: bool):
         slab, encoder, tail = TaskContext.get().partitionId(), Encoder.of(tokenizer), np.array([end], "<u4").tobytes()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for i, j, _, _ in slices(batch.column("text"), 4 << 20):
+            for i, j, data, off in slices(batch.column("text")):
                 doc, piece, start, length, crc, local, ids = [], [], [], [], [], [], []
                 names = batch.column("doc_id").slice(i, j - i).to_pylist()
-                for d, x in zip(names, encoder.encode(batch.column("text").slice(i, j - i).to_pylist())):
+                for d, x in zip(names, encoder.encode_bytes(data, off)):
                     x += tail
                     for p, at in enumerate(range(0, len(x), 4 * capacity)):
                         own = x[at : at + 4 * capacity]

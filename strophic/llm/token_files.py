@@ -37,8 +37,8 @@ def _encode(tokenizer: str, end: int):
         part, at, encoder = TaskContext.get().partitionId(), 0, Encoder.of(tokenizer)
         tail = np.array([end], "<u4").tobytes()
         for batch in batches:
-            for i, j, _, _ in slices(batch.column("text"), 4 << 20):
-                ids = [x + tail for x in encoder.encode(batch.column("text").slice(i, j - i).to_pylist())]
+            for i, j, data, text_off in slices(batch.column("text")):
+                ids = [x + tail for x in encoder.encode_bytes(data, text_off)]
                 sizes = np.array([len(x) // 4 for x in ids], np.int64)
                 off = np.concatenate([[0], np.cumsum(sizes)])
                 values = pa.array(np.frombuffer(b"".join(ids), "<i4"))

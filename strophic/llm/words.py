@@ -52,6 +52,18 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[size]
 
 
+def byte_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges."""
+    up, down = _power_tables(len(data))
+    total = np.empty(len(data) + 1, U)
+    total[0] = 0
+    np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
+    h = total[end]
+    h -= total[start]
+    h *= down[start]
+    return mix(h)
+
+
 class Words:
     """Words of some documents. ``start``/``end``: byte ranges in ``data``; ``off``: first word of each document."""
 
@@ -78,14 +90,7 @@ class Words:
         return np.repeat(np.arange(len(self.off) - 1), np.diff(self.off))
 
     def hashes(self) -> np.ndarray:
-        up, down = _power_tables(len(self.data))
-        total = np.empty(len(self.data) + 1, U)
-        total[0] = 0
-        np.cumsum(_BYTE[self.data] * up[: len(self.data)], out=total[1:])
-        h = total[self.end]
-        h -= total[self.start]
-        h *= down[self.start]
-        return mix(h)
+        return byte_hashes(self.data, self.start, self.end)
 
     def text(self, i: int, j: int) -> bytes:
         """Words i to j (exclusive), joined by one space."""
