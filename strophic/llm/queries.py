@@ -5,13 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, fingerprints, packing, passages, token_files
+from . import decontamination, fingerprints, near_duplicates, packing, passages, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.report(table(spark, sf_dir, "documents"))
+
+
 def op3_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.report(table(spark, sf_dir, "documents"))
 
@@ -32,5 +36,5 @@ def op9_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_canonical_digest, op4_token_files, op5_best_fit_packing, op8_benchmark_decontamination, op9_phrase_automata)}
+QUERIES = {f.__name__: f for f in (op2_superminhash, op3_canonical_digest, op4_token_files, op5_best_fit_packing, op8_benchmark_decontamination, op9_phrase_automata)}
 ORACLE_SQL: dict[str, str] = {}

@@ -15,7 +15,7 @@ import numpy as np
 
 from .words import U, mix
 
-_STEP = U(0x9E3779B97F4A7C15)
+_STEP = 0x9E3779B97F4A7C15
 
 
 def signatures(elements: np.ndarray, off: np.ndarray, slots: int) -> np.ndarray:
@@ -31,7 +31,7 @@ def signatures(elements: np.ndarray, off: np.ndarray, slots: int) -> np.ndarray:
     for rank in range(slots):
         if not len(of):
             break
-        draw = mix(seeds + U(2 * rank + 1) * _STEP)
+        draw = mix(seeds + U((2 * rank + 1) * _STEP & 0xFFFFFFFFFFFFFFFF))
         r = mix(draw ^ U(0xA5A5A5A5A5A5A5A5)) >> U(16)
         at = rank + ((draw >> U(32)) * U(slots - rank) >> U(32)).astype(np.int64)
         swaps.append(at)
