@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, fingerprints, near_duplicates, packing, passages, token_files
+from . import decontamination, fingerprints, katz, near_duplicates, packing, passages, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -36,5 +40,5 @@ def op9_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_superminhash, op3_canonical_digest, op4_token_files, op5_best_fit_packing, op8_benchmark_decontamination, op9_phrase_automata)}
+QUERIES = {f.__name__: f for f in (op2_superminhash, op3_canonical_digest, op4_token_files, op5_best_fit_packing, op7_katz_backoff, op8_benchmark_decontamination, op9_phrase_automata)}
 ORACLE_SQL: dict[str, str] = {}
