@@ -5,13 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, fingerprints, katz, near_duplicates, packing, passages, token_files
+from . import cotraining, decontamination, fingerprints, katz, near_duplicates, packing, passages, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotraining.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.report(table(spark, sf_dir, "documents"))
 
@@ -40,5 +44,5 @@ def op9_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_superminhash, op3_canonical_digest, op4_token_files, op5_best_fit_packing, op7_katz_backoff, op8_benchmark_decontamination, op9_phrase_automata)}
+QUERIES = {f.__name__: f for f in (op1_cotraining, op2_superminhash, op3_canonical_digest, op4_token_files, op5_best_fit_packing, op7_katz_backoff, op8_benchmark_decontamination, op9_phrase_automata)}
 ORACLE_SQL: dict[str, str] = {}
