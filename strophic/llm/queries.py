@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import cotraining, decontamination, fingerprints, katz, near_duplicates, packing, passages, token_files
+from . import cotraining, decontamination, fingerprints, katz, licenses, near_duplicates, packing, passages, quotations, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +33,11 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's path is its source, its language and its id."""
+    return licenses.report(table(spark, sf_dir, "documents"), F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")))
+
+
 def op7_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score(table(spark, sf_dir, "documents"))
 
@@ -44,5 +50,9 @@ def op9_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_cotraining, op2_superminhash, op3_canonical_digest, op4_token_files, op5_best_fit_packing, op7_katz_backoff, op8_benchmark_decontamination, op9_phrase_automata)}
-ORACLE_SQL: dict[str, str] = {}
+def op10_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotations.link(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_cotraining, op2_superminhash, op3_canonical_digest, op4_token_files, op5_best_fit_packing, op6_license_scan, op7_katz_backoff, op8_benchmark_decontamination, op9_phrase_automata, op10_quotation_linking)}
+ORACLE_SQL = {"op6_license_scan": licenses.oracle("concat_ws('/', source, lang, doc_id::VARCHAR)")}
