@@ -216,10 +216,11 @@ def _confirm(sets: list[np.ndarray], percent: int) -> np.ndarray:
 
 def _chunked(rows: DataFrame, key: str) -> DataFrame:
     """Rows with ``c1``, ``c2``: every two rows of a key meet in some (key, c1, c2) of bounded size."""
-    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select(key, F.ceil(F.col("members") / CHUNK).cast("int").alias("chunks"))
-    mine = F.pmod(F.xxhash64("id"), F.col("chunks").cast("long")).cast("int")
-    met = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda x: F.struct(F.least(x, F.col("mine")).alias("c1"), F.greatest(x, F.col("mine")).alias("c2")))
-    return rows.join(counts, key).withColumn("mine", mine).withColumn("met", F.explode(met)).select(*rows.columns, "met.c1", "met.c2")
+    large = rows.groupBy(key).agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > CHUNK).select(key, F.ceil(F.col("members") / CHUNK).cast("int").alias("chunks"))
+    chunks = F.coalesce(F.col("chunks"), F.lit(1))
+    mine = F.pmod(F.xxhash64("id"), chunks.cast("long")).cast("int")
+    met = F.transform(F.sequence(F.lit(0), chunks - 1), lambda x: F.struct(F.least(x, F.col("mine")).alias("c1"), F.greatest(x, F.col("mine")).alias("c2")))
+    return rows.join(large, key, "left").withColumn("mine", mine).withColumn("met", F.explode(met)).select(*rows.columns, "met.c1", "met.c2")
 
 
 def _together(rows: DataFrame, key: str, run: Callable, schema: str) -> DataFrame:
