@@ -24,9 +24,9 @@ import numpy as np
 
 from .words import _LOWER, SPACED, U, byte_hashes
 
-#: Pieces that a Python worker remembers (about 150 bytes each).
-REMEMBERED = 1_500_000
-_SLOTS = 21
+#: Pieces that a Python worker remembers; with its table about 90 MB.
+REMEMBERED = 2_000_000
+_SLOTS, _PROBES = 22, 32
 _byte = np.arange(256)
 _LETTER = ((_byte | 32) >= 0x61) & ((_byte | 32) <= 0x7A) & (_byte < 0x80) | (_byte >= 0x30) & (_byte <= 0x39)
 _PUNCT = (_byte > 0x20) & (_byte < 0x7F) & ~_LETTER
@@ -70,9 +70,9 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.keys, self.at, self.size = np.zeros(1 << _SLOTS, U), np.zeros(1 << _SLOTS, np.int64), np.zeros(1 << _SLOTS, np.int64)
-        self.places: dict[int, tuple[int, int]] = {}
-        self.flat, self.used = np.empty(1 << 16, "<u4"), 0
+        """An open hash table of pieces: key, first id in ``flat``, number of ids."""
+        self.keys, self.at, self.size = np.zeros(1 << _SLOTS, U), np.zeros(1 << _SLOTS, np.uint32), np.zeros(1 << _SLOTS, np.uint32)
+        self.flat, self.used, self.pieces_known = np.empty(1 << 16, "<u4"), 0, 0
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -156,22 +156,40 @@ class Encoder:
         ends[:-1] |= begins[1:]
         return np.flatnonzero(begins & inside), np.flatnonzero(ends & inside) + 1
 
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """The slot of each key; -1 for unknown ones."""
+        out, left, base = np.full(len(h), -1, np.int64), np.arange(len(h)), (h >> U(64 - _SLOTS)).astype(np.int64)
+        for k in range(_PROBES):
+            slot = (base[left] + k) & ((1 << _SLOTS) - 1)
+            key = self.keys[slot]
+            same = key == h[left]
+            out[left[same]] = slot[same]
+            left = left[~same & (key != 0)]
+            if not len(left):
+                break
+        return out
+
     def _learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the ids of pieces that aren't in the quick table."""
-        names = h.tolist()
-        new = [k for k, x in enumerate(names) if x not in self.places]
-        if new:
-            ids = self.each([data[start[k] : end[k]].tobytes().decode() for k in new])
-            need = sum(map(len, ids)) // 4
-            if self.used + need > len(self.flat):
-                self.flat = np.concatenate([self.flat[: self.used], np.empty(2 * need + self.used, "<u4")])
-            for k, x in zip(new, ids):
-                self.places[names[k]] = self.used, len(x) // 4
-                self.flat[self.used : self.used + len(x) // 4] = np.frombuffer(x, "<u4")
-                self.used += len(x) // 4
-        at, size = (np.array(c, np.int64) for c in zip(*(self.places[x] for x in names)))
-        slot = (h >> U(64 - _SLOTS)).astype(np.int64)
-        self.keys[slot], self.at[slot], self.size[slot] = h, at, size
+        """Encode new pieces: first ids in ``flat`` and numbers of ids."""
+        ids = self.each([data[a:b].tobytes().decode() for a, b in zip(start.tolist(), end.tolist())])
+        size = np.array([len(x) // 4 for x in ids], np.int64)
+        need = int(size.sum())
+        if self.used + need > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.empty(need + self.used // 2, "<u4")])
+        self.flat[self.used : self.used + need] = np.frombuffer(b"".join(ids), "<u4")
+        at = self.used + np.cumsum(size) - size
+        self.used += need
+        left, base = np.arange(len(h)), (h >> U(64 - _SLOTS)).astype(np.int64)
+        for k in range(_PROBES):  # a piece that finds no place is encoded again next time
+            slot = (base[left] + k) & ((1 << _SLOTS) - 1)
+            free = np.flatnonzero(self.keys[slot] == 0)
+            own, first = np.unique(slot[free], return_index=True)
+            mine = left[free[first]]
+            self.keys[own], self.at[own], self.size[own] = h[mine], at[mine], size[mine]
+            self.pieces_known += len(mine)
+            left = np.delete(left, free[first])
+            if not len(left):
+                break
         return at, size
 
     def encode_bytes(self, data: np.ndarray, off: np.ndarray) -> list[bytes]:
@@ -191,14 +209,14 @@ class Encoder:
             sizes = np.diff(off)
             sizes[slow] = 0
             data, off = data[keep], np.concatenate([[0], np.cumsum(sizes)])
-        if len(self.places) > self.remembered:
+        if self.pieces_known > self.remembered or self.used > 1 << 31:
             self._forget()
         start, end = self._pieces_of_bytes(data, off)
         if not len(start):
             return [odd.get(k, b"") for k in range(n)]
-        h = byte_hashes(data, start, end)
-        slot = (h >> U(64 - _SLOTS)).astype(np.int64)
-        at, size, miss = self.at[slot], self.size[slot], np.flatnonzero(self.keys[slot] != h)
+        h = byte_hashes(data, start, end) | U(1)
+        slot = self._find(h)
+        at, size, miss = self.at[slot].astype(np.int64), self.size[slot].astype(np.int64), np.flatnonzero(slot < 0)
         if len(miss):
             own, first, back = np.unique(h[miss], return_index=True, return_inverse=True)
             own_at, own_size = self._learn(data, start[miss[first]], end[miss[first]], own)
