@@ -88,7 +88,7 @@ def motif_relations(signatures: DataFrame, reach: int = 64, remembered: int = 4)
     """
     order = Window.partitionBy("sid", "key").orderBy("start")
     numbered = signatures.withColumn("k", F.row_number().over(order))
-    earlier = numbered.select("sid", "key", F.col("start").alias("previous"), (F.col("k") + F.explode(F.sequence(F.lit(1), F.lit(remembered)))).alias("k"))
+    earlier = numbered.select("sid", "key", F.col("start").alias("previous"), F.explode(F.sequence(F.col("k") + 1, F.col("k") + remembered)).alias("k"))
     pairs = numbered.join(earlier, ["sid", "key", "k"]).withColumn("distance", F.col("start") - F.col("previous")).filter((F.col("distance") >= F.col("length")) & (F.col("distance") <= reach))
     best = F.max(F.struct("length", "previous", "distance"))
     return pairs.groupBy("sid", "start").agg(best.alias("x")).select("sid", "start", "x.length", "x.previous", "x.distance", (F.col("x.distance") <= 2 * F.col("x.length")).alias("close"))
@@ -100,7 +100,7 @@ def long_arrivals(notes: DataFrame) -> DataFrame:
     unit = upper_median(F.filter(F.slice("d", 1, 4), lambda x: x > 0))
     own = own.withColumn("unit", unit).filter("unit > 0")
     ratios = F.transform(F.slice("d", 1, 4), lambda x: x / F.col("unit"))
-    span, last = (F.element_at("o", 5) - F.element_at("o", 1)) / F.col("unit"), F.element_at("d", 5) / F.col("unit")
+    span, last = (F.get("o", 4) - F.get("o", 0)) / F.col("unit"), F.get("d", 4) / F.col("unit")
     own = own.withColumns({"ratios": ratios, "span": span, "terminal": last}).filter(F.forall("ratios", lambda x: (x >= 0.45) & (x <= 1.65)) & F.col("span").between(3.5, 4.5) & (F.col("terminal") >= 3.5))
     straight = F.forall("ratios", lambda x: F.abs(x - 1) <= 0.2)
     total = F.aggregate("ratios", F.lit(0.0), lambda s, x: s + x)
