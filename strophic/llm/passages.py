@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import OWN, materialise, null_as_empty, release
+from .common import OWN, drop_table, materialise, null_as_empty, release
 from .words import SPACED, U, Words, _power_tables, mix, rolling, slices
 
 WINDOW = 13
@@ -36,6 +36,8 @@ ANCHOR = 5
 SHARD = 1 << 20
 #: Words of a passage in one pattern; longer ones are cut with an overlap of a window less one word.
 PATTERN = 512
+#: Passages that are read from a source at once.
+PER_ROW = 1000
 _NO = np.empty(0, np.int64)
 
 
@@ -114,10 +116,11 @@ def _window_rows(window: int):
     return run
 
 
-def claims(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+def claims(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[DataFrame, list[DataFrame]]:
     """(``id``, ``first``, ``number``, ``src``, ``src_first``): windows of a document that start in an earlier one.
 
-    ``docs`` has (``id``, ``text``) without null ids. ``src`` is the first document that has the windows.
+    ``docs`` has (``id``, ``text``) without null ids. ``src`` is the first document that has the windows. The second result
+    is the tables that can be dropped when the first has been read.
     """
     spark = docs.sparkSession
     seen = docs.mapInArrow(_emit_segments(False, window, anchor), "anchor long, id long")
@@ -125,6 +128,7 @@ def claims(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataF
     release(spark)
     placed = docs.mapInArrow(_emit_segments(True, window, anchor), "anchor long, id long, whole long, first int, number int")
     found = materialise(placed.join(again, "anchor"), "segments")
+    drop_table(again)
     release(spark)
     variants = found.groupBy("anchor", "whole").agg(F.min(F.struct("id", "first", "number")).alias("at"), F.min("src").alias("src"))
     variants = materialise(variants.select("anchor", "whole", F.col("at.id").alias("from_id"), F.col("at.first").alias("from_first"), F.col("at.number").alias("number"), "src"), "variants")
@@ -138,9 +142,10 @@ def claims(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataF
     single = rows.join(firsts, ["anchor", "window"]).select("anchor", "whole", "place", F.col("from.id").alias("from_id"), F.col("from.first").alias("from_first"))
     known = variants.filter("from_id = src").select("anchor", "whole", F.lit(0).alias("place"), "number", "from_id", "from_first")
     known = known.unionByName(single.join(variants.filter("from_id > src").select("anchor", "whole"), ["anchor", "whole"], "left_semi").withColumn("number", F.lit(1)))
-    return found.select("anchor", "whole", "id", "first").join(known, ["anchor", "whole"]).filter("from_id < id").select(
+    out = found.select("anchor", "whole", "id", "first").join(known, ["anchor", "whole"]).filter("from_id < id").select(
         "id", (F.col("first") + F.col("place")).alias("first"), "number", F.col("from_id").alias("src"), F.col("from_first").alias("src_first")
     )
+    return out, [found, variants, rows]
 
 
 def _merge(batches):
@@ -240,10 +245,17 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     """The documents with their number of words, the number removed, and the remaining words joined by spaces (own names)."""
     spark = docs.sparkSession
     plain = docs.select(F.col(doc_id).cast("long").alias("id"), null_as_empty(text).alias("text")).filter("id IS NOT NULL")
-    own = claims(plain).groupBy("id").agg(F.collect_list(F.struct("first", "number", "src", "src_first")).alias("claims"))
+    claimed, used = claims(plain)
+    own = claimed.groupBy("id").agg(F.collect_list(F.struct("first", "number", "src", "src_first")).alias("claims"))
     passages = materialise(own.mapInArrow(_merge, "id long, src long, src_first int, words int"), "passages")
+    for t in used:
+        drop_table(t)
     release(spark)
-    asked = passages.groupBy(F.col("src").alias("id")).agg(F.collect_set(F.struct("src_first", "words")).alias("patterns"))
+    # a source that very many documents quote has its passages dealt to rows of about PER_ROW
+    distinct = passages.select("src", "src_first", "words").distinct()
+    many = distinct.groupBy("src").agg(F.ceil(F.count(F.lit(1)) / PER_ROW).alias("salts")).filter("salts > 1")
+    salt = F.pmod(F.xxhash64("src_first", "words"), F.coalesce(F.col("salts"), F.lit(1)))
+    asked = distinct.join(many, "src", "left").groupBy(F.col("src").alias("id"), salt.alias("salt")).agg(F.collect_list(F.struct("src_first", "words")).alias("patterns"))
     texts = plain.join(asked, "id").mapInArrow(_read_patterns, "src long, src_first int, words int, pattern string")
     texts = materialise(texts.distinct(), "patterns")
     release(spark)
