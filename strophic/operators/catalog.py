@@ -25,11 +25,15 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(_WORDS), F.lit(0))
 
 
+def _begins(term: str):
+    return lambda word: F.startswith(word, F.lit(term))
+
+
 def title_matches(title_words: Column, terms: list[str]) -> Column:
     """Every term begins a word; a term of one character is a whole word."""
     out = F.lit(True)
     for t in terms:
-        out = out & (F.array_contains(title_words, t) if len(t) == 1 else F.exists(title_words, lambda w, t=t: F.startswith(w, F.lit(t))))
+        out = out & (F.array_contains(title_words, t) if len(t) == 1 else F.exists(title_words, _begins(t)))
     return out
 
 
