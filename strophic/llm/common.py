@@ -121,8 +121,10 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let Spark delete shuffle files of finished steps now: it does so when the driver's garbage is collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first round lets go of what Python still held in the JVM
+        gc.collect()
+        spark.range(1).write.format("noop").mode("overwrite").save()  # the JVM holds on to the last command
+        spark.sparkContext._jvm.System.gc()
 
 
 def null_as_empty(text: str | Column) -> Column:

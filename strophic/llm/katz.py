@@ -39,7 +39,7 @@ from .words import SPACED, U, Words, mix, slices
 ORDER = 3
 K = 5
 CUTOFF = 1
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 _START, _END = U(0x1B873593CC9E2D51), U(0xE6546B64A1B2C3D5)
 _Q = U(0xD1342543DE82EF95)
 _MANY = "block long, range int, payload binary"
@@ -68,7 +68,7 @@ def _blocks(batches):
 
     def row():
         off = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array([(part << 32) | number]), pa.array([list(ids)], pa.list_(pa.int64())), pa.array([off.tobytes()], pa.binary()), pa.array([zstandard.compress(b"".join(texts), 1)], pa.binary())], names=["block", "ids", "off", "text"])
+        return pa.RecordBatch.from_arrays([pa.array([(part << 32) | number]), pa.array([list(ids)], pa.list_(pa.int64())), pa.array([off.tobytes()], pa.binary()), pa.array([zstandard.compress(b"".join(texts), 6)], pa.binary())], names=["block", "ids", "off", "text"])
 
     for batch in batches:
         for i, j, data, off in slices(batch.column("text")):
@@ -84,6 +84,11 @@ def _blocks(batches):
         yield row()
 
 
+def _one_by_one(batch):
+    for k in range(batch.num_rows):
+        yield batch.slice(k, 1).to_pylist()[0]
+
+
 class Block:
     """Tokens of a block, and for each order the distinct n-grams with their place for each token."""
 
@@ -99,6 +104,7 @@ class Block:
         self.train = np.repeat(~self.held, self.n_tokens)
         self.place = np.arange(len(self.tokens)) - np.repeat(self.first, self.n_tokens)
         self._grams: list[np.ndarray] = [self.tokens]
+        self._distinct: dict[int, tuple] = {}
 
     def grams(self, order: int) -> np.ndarray:
         """The hash of the ``order`` tokens that end at each token; start marks fill up."""
@@ -117,11 +123,15 @@ class Block:
 
     def distinct(self, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct n-grams, contexts of first tokens (start marks alone) included; the place of each token's; training counts."""
+        if order in self._distinct:
+            return self._distinct[order]
         all_of = np.append(self.grams(order), _start(order))
         keys, back = np.unique(all_of, return_inverse=True)
+        back = back.astype(np.int32)
         counts = np.bincount(back[:-1], self.train, len(keys)).astype(np.uint32)
         counts[back[-1]] = (~self.held).sum()  # start marks alone are a context once a document
-        return keys, back[:-1], counts
+        self._distinct[order] = keys, back[:-1], counts
+        return self._distinct[order]
 
 
 def _start(size: int) -> np.uint64:
@@ -146,7 +156,7 @@ def _rows(block: int, ranges: int, keys: np.ndarray, *more: np.ndarray):
 def _count(order: int, ranges: int, fold: int, folds: int):
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _one_by_one(batch):
                 keys, _, counts = Block(row["ids"], row["off"], row["text"], fold, folds).distinct(order)
                 yield _rows(row["block"], ranges, keys, counts)
 
@@ -232,7 +242,9 @@ def _evaluate(block: Block, answers: Answers, model: Model, order: int):
     state = None
     for m in range(2, order + 1):
         context, context_keys = block.context(m - 1), keys
-        at = np.searchsorted(context_keys, context)
+        at = np.append(back, len(context_keys))[:-1]  # the context is the gram before; of first tokens, start marks
+        at = np.concatenate([[0], at[:-1]])
+        at[block.first] = np.searchsorted(context_keys, _start(m - 1))
         keys, back, _ = block.distinct(m)
         told = answers.get("count", m, "<i8")
         total = told >> 1
@@ -261,7 +273,7 @@ def _context_sums(order: int, ranges: int, model, fold: int, folds: int):
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _one_by_one(batch):
                 block, answers = Block(row["ids"], row["off"], row["text"], fold, folds), Answers(row["answers"])
                 _, _, (context, at, back, first, _, context_count, kept, lower) = _evaluate(block, answers, model.value, order)
                 _, one = np.unique(back, return_index=True)  # a token of each n-gram
@@ -295,7 +307,7 @@ def _weights(table: pa.Table) -> pa.Table:
 def _scores(order: int, model, fold: int, folds: int):
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _one_by_one(batch):
                 block = Block(row["ids"], row["off"], row["text"], fold, folds)
                 p, count, _ = _evaluate(block, Answers(row["answers"]), model.value, order)
                 base = np.log10((count + 0.5) / (model.value.tokens + 0.5 * (model.value.seen + 1)))
@@ -331,6 +343,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: in
     for m in range(1, order + 1):
         sent = blocks.select("block", "ids", "off", "text").mapInArrow(_count(m, ranges, fold, folds), _MANY)
         added = materialise(sent.groupBy("range").applyInArrow(_add_up(m), _MANY), f"counts{m}", compression="uncompressed")
+        sent = None
         told(m, "count", added)
         numbers = [np.frombuffer(r["payload"], np.int64) for r in added.filter("block IS NULL").select("payload").collect()]  # K + 4 numbers a range
         stats.append(sum(numbers, np.zeros(K + 4, np.int64)))
@@ -338,6 +351,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: in
         if m > 1:
             sums = with_answers().mapInArrow(_context_sums(m, ranges, model(), fold, folds), _MANY)
             told(m, "weight", materialise(sums.groupBy("range").applyInArrow(_weights, _MANY), f"weights{m}", compression="uncompressed"))
+            sums = None
             release(spark)
     kind = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return with_answers().mapInArrow(_scores(order, model(), fold, folds), kind)
