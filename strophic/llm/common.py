@@ -57,9 +57,11 @@ def drop_table(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of a plan's size; for files it is their size on disk."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def plan_bytes(df: DataFrame) -> int | None:
+    """Size of what a plan reads: the sum over its leaves, for files their size on disk. None if a leaf's size isn't known."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    return None if any(x >= 1 << 60 for x in sizes) else sum(sizes)
 
 
 def conf_bytes(spark: SparkSession, key: str, default: int) -> int:
@@ -70,9 +72,15 @@ def conf_bytes(spark: SparkSession, key: str, default: int) -> int:
 
 
 def parts_for(df: DataFrame, per_part: float = 1.0, least: int = 1) -> int:
-    """As many partitions as the scan of ``df`` would have at ``per_part`` times the session's split size."""
+    """As many partitions as a scan of what ``df`` reads would have at ``per_part`` times the session's split size.
+
+    Where that size isn't known, the session's number of shuffle partitions.
+    """
+    size = plan_bytes(df)
+    if size is None:
+        return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     split = conf_bytes(df.sparkSession, "spark.sql.files.maxPartitionBytes", 128 << 20)
-    return max(least, math.ceil(min(plan_bytes(df), 1 << 60) / (split * per_part)))
+    return max(least, math.ceil(size / (split * per_part)))
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", rows_per_salt: int = 2000) -> DataFrame:

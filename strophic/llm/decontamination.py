@@ -151,6 +151,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, remove: str = "docum
         return marked.filter(~_contaminated(percent)).select(*docs.columns)
     if remove != "spans":
         raise ValueError("remove is 'documents' or 'spans'")
+    names = docs.columns
 
     def cut(batches):
         for batch in batches:
@@ -165,7 +166,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, remove: str = "docum
                         at = int(words.end[r["j"] - 1])
                     texts[k] = b"".join([*kept, raw[at:]]).decode()
             at = batch.schema.get_field_index(text)
-            yield batch.select(docs.columns).set_column(at, text, pa.array(texts, batch.schema.field(text).type))
+            yield batch.select(names).set_column(at, text, pa.array(texts, batch.schema.field(text).type))
 
     return marked.mapInArrow(cut, docs.schema)
 
