@@ -350,8 +350,8 @@ def _melody(notes: DataFrame, **options) -> search.Query:
 
 
 def _search(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
-    n = event_notes(spark, sf_dir)
-    return search.search(n, tokens.tokens(n), _melody(n, **options))
+    n = event_notes(spark, sf_dir).persist()  # read once for the index, the passages and the query
+    return search.search(n, tokens.tokens(n).persist(), _melody(n, **options))
 
 
 @query()

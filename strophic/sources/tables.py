@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """Good records and bad ones (with the raw line). Only a line feed ends a record."""
     bad = "__strophic_bad"
-    raw = spark.read.schema(f"{schema}, {bad} string").option("lineSep", "\n").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad).json(path)
-    return raw.filter(F.col(bad).isNull()).drop(bad), raw.filter(F.col(bad).isNotNull()).select(F.col(bad).alias("line"))
+    lines = spark.read.option("lineSep", "\n").text(path)
+    parsed = lines.select("value", F.from_json("value", f"{schema}, {bad} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad}).alias("r"))
+    return parsed.filter(F.col(f"r.{bad}").isNull()).select("r.*").drop(bad), parsed.filter(F.col(f"r.{bad}").isNotNull()).select(F.col("value").alias("line"))
 
 
 def first_wins(rows: DataFrame, key: str, *order: str) -> DataFrame:
