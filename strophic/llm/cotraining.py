@@ -120,13 +120,13 @@ class Views:
 
     def choose(self, feature: np.ndarray, row: np.ndarray, y: np.ndarray) -> None:
         """The features whose presence says most about the class (G-squared on the fitted rows)."""
-        number = np.bincount(feature, minlength=_SPACE).astype(float)
-        bad = np.bincount(feature, 1 - y[row], _SPACE)
+        names, at = np.unique(feature, return_inverse=True)
+        number = np.bincount(at).astype(float)
+        bad = np.bincount(at, 1 - y[row])
         good, n, n_bad = number - bad, len(y), float((1 - y).sum())
-        expect_bad, expect_good = number * n_bad / n, number * (n - n_bad) / n
-        g = bad * np.log(np.maximum(bad, 0.5) / np.maximum(expect_bad, 1e-9)) + good * np.log(np.maximum(good, 0.5) / np.maximum(expect_good, 1e-9))
+        g = bad * np.log(np.maximum(bad, 0.5) / np.maximum(number * n_bad / n, 1e-9)) + good * np.log(np.maximum(good, 0.5) / np.maximum(number * (n - n_bad) / n, 1e-9))
         g[number < LEAST_ROWS] = -1
-        self.chosen = np.sort(np.argsort(-g, kind="stable")[: min(FEATURES, int((g > 0).sum()))])
+        self.chosen = np.sort(names[np.argsort(-g, kind="stable")[: min(FEATURES, int((g > 0).sum()))]])
 
     def narrow(self, feature: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(self.chosen):
@@ -185,16 +185,21 @@ def _compact(views):
     return run
 
 
-def _stack(column, kind) -> np.ndarray:
-    rows = column.to_pylist()
-    return np.array(rows, kind) if rows else np.zeros((0, 1), kind)
+def _lists(column) -> tuple[np.ndarray, np.ndarray]:
+    """Values and lengths of a list column, without Python objects."""
+    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return lists.flatten().to_numpy(zero_copy_only=False), np.asarray(lists.value_lengths().fill_null(0))
+
+
+def _stack(column, width: int) -> np.ndarray:
+    return _lists(column)[0].reshape(-1, width)
 
 
 def _matrix(table) -> tuple[tuple, tuple]:
     """Both views' inputs from rows of compact features."""
-    own = [np.array(x, np.int64) for x in table.column("feature").to_pylist()]
-    text = (np.concatenate(own) if own else np.empty(0, np.int64), np.repeat(np.arange(len(own)), [len(x) for x in own]), _stack(table.column("shares"), np.float32))
-    return text, _meta_flat(_stack(table.column("category"), np.int64), _stack(table.column("size"), np.float32))
+    feature, size = _lists(table.column("feature"))
+    text = feature, np.repeat(np.arange(len(size), dtype=np.int32), size), _stack(table.column("shares"), _SHARES)
+    return text, _meta_flat(_stack(table.column("category"), 2), _stack(table.column("size"), 2))
 
 
 def _confidence(views):
