@@ -32,6 +32,8 @@ from .words import SPACED, U, Words, byte_hashes, slices
 
 LABELLED, LEAST = 6000, 20
 FEATURES, LEAST_ROWS = 1024, 4
+#: Least G-squared of a chosen feature: chance gives as much to one in a hundred.
+SIGNIFICANT = 6.63
 ROUNDS, EXCHANGED, SURE = 3, 200, 0.97
 _SPACE = 1 << 22
 _SHARES = 9
@@ -125,7 +127,7 @@ class Views:
         bad = np.bincount(at, 1 - y[row])
         good, n, n_bad = number - bad, len(y), float((1 - y).sum())
         g = bad * np.log(np.maximum(bad, 0.5) / np.maximum(number * n_bad / n, 1e-9)) + good * np.log(np.maximum(good, 0.5) / np.maximum(number * (n - n_bad) / n, 1e-9))
-        g[number < LEAST_ROWS] = -1
+        g[(number < LEAST_ROWS) | (2 * g < SIGNIFICANT)] = -1
         self.chosen = np.sort(names[np.argsort(-g, kind="stable")[: min(FEATURES, int((g > 0).sum()))]])
 
     def narrow(self, feature: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
