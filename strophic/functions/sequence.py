@@ -125,3 +125,20 @@ def autocorrelation_lag(samples: Column, low: int, high: int) -> Column:
     at = lambda k: F.aggregate(F.zip_with(F.slice(samples, 1, F.size(samples) - k), F.slice(samples, k + 1, F.size(samples) - k), lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     best = F.array_max(F.transform(F.sequence(F.lit(low), F.lit(high)), lambda k: F.struct(F.round(at(k), 6).alias("value"), (-k).alias("lag"))))
     return -best["lag"]
+
+
+def thinned(marks: Column, dense: int = 4, span: int = 3, gap: int = 4, ratio: float = 1.25) -> Column:
+    """Tempo marks (structs of ``measure`` and ``tempo``, in order) without those that crowd.
+
+    A mark with at least ``dense`` marks within ``span`` measures from it stays only if it is ``gap`` measures after the last kept one or
+    its tempo differs from that one's by ``ratio``.
+    """
+    counted = F.transform(marks, lambda x: F.struct(x["measure"].alias("measure"), x["tempo"].alias("tempo"), F.size(F.filter(marks, lambda y: F.abs(y["measure"] - x["measure"]) < span)).alias("near")))
+
+    def keep(done: Column, x: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        change = F.greatest(x["tempo"], last["tempo"]) / F.least(x["tempo"], last["tempo"])
+        stays = (F.size(done) == 0) | (x["near"] < dense) | (x["measure"] - last["measure"] >= gap) | (change >= ratio)
+        return F.when(stays, F.concat(done, F.array(x))).otherwise(done)
+
+    return F.aggregate(counted, F.slice(counted, 1, 0), keep)

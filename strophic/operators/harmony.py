@@ -72,3 +72,20 @@ def cadences(chords: DataFrame, tonic: int, key: str = "src") -> DataFrame:
         .when((F.col("function") == "dominant") & (F.col("before") != "dominant"), "half").otherwise("none")
     )
     return x.filter("before IS NOT NULL").select(key, "begin", "end", "root", "quality", "function", kind.alias("cadence"))
+
+
+def around_boundaries(boundaries: DataFrame, chords: DataFrame, key: str = "src", before: float = 8.0, after: float = 2.0, recent: float = 2.0) -> DataFrame:
+    """For each boundary (key, ``at``) the chords near it and the one it arrives at.
+
+    An arrival begins at the boundary, else sounds over it, else has ended at most ``recent`` quarters earlier. Overlaps are found
+    through bins as long as the window before the boundary, so the join is an equality.
+    """
+    size = before
+    spread = lambda a, b: F.explode(F.sequence(F.floor(a / size), F.floor(b / size)))
+    b = boundaries.select(key, "at", spread(F.col("at") - before, F.col("at") + after).alias("bin"))
+    c = chords.select(key, "begin", "end", "root", "quality", spread(F.col("begin"), F.col("end")).alias("bin"))
+    near = b.join(c, [key, "bin"]).filter((F.col("end") > F.col("at") - before) & (F.col("begin") < F.col("at") + after)).drop("bin").distinct()
+    kind = F.when(F.col("begin") == F.col("at"), 1).when((F.col("begin") < F.col("at")) & (F.col("end") > F.col("at")), 2).when((F.col("end") <= F.col("at")) & (F.col("at") - F.col("end") <= recent), 3)
+    best = F.min(F.when(kind.isNotNull(), F.struct(kind.alias("kind"), (-F.col("begin")).alias("late"), "root", "quality")))
+    found = near.groupBy(key, "at").agg(F.count(F.lit(1)).alias("chords"), best.alias("x"))
+    return found.select(key, "at", "chords", F.col("x.kind").alias("arrival"), F.col("x.root").alias("root"), F.col("x.quality").alias("quality"))

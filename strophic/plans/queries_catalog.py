@@ -254,6 +254,15 @@ def cadences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return harmony.cadences(harmony.merge(_chords(spark, sf_dir)), 0)
 
 
+@query(f"""WITH {_HARM_SQL}, bd AS (SELECT DISTINCT src, o + d AS at_ FROM ev WHERE d = 2), nr AS (SELECT bd.src, at_, "begin", "end", root, quality, CASE WHEN "begin" = at_ THEN 1 WHEN "begin" < at_ AND "end" > at_ THEN 2 WHEN "end" <= at_ AND at_ - "end" <= 2 THEN 3 END AS kind
+ FROM bd JOIN mc ON mc.src = bd.src AND "end" > at_ - 8 AND "begin" < at_ + 2)
+SELECT src, at_ AS "at", count(*) AS chords, min(kind)::INT AS arrival, (arg_min(root, (kind, -"begin", root)) FILTER (kind IS NOT NULL))::INT AS root, arg_min(quality, (kind, -"begin", root)) FILTER (kind IS NOT NULL) AS quality FROM nr GROUP BY src, at_""")
+def boundary_harmony(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chords around the ends of long notes, and which one they arrive at."""
+    ev = harmony.dedupe(event_notes(spark, sf_dir).filter("o < 40"))
+    return harmony.around_boundaries(ev.filter("d = 2").select("src", (F.col("o") + F.col("d")).alias("at")).distinct(), harmony.merge(_chords(spark, sf_dir)))
+
+
 @query("SELECT count(DISTINCT l_orderkey) AS works, count(*) AS streams FROM lineitem")
 def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A10."""

@@ -142,3 +142,9 @@ def test_evaluation():
         assert evaluation.mutate(base, kind) != base and base[4] == {"p": 64, "d": 1.0}
     bad = evaluation.violations([{"caseId": "a"}, {"caseId": "a"}])
     assert ("a", "repeated caseId") in bad and ("a", "fewer than four events") in bad
+
+
+def test_thinned_marks(spark):
+    rows = [(m, t) for m, t in [(1, 100.0), (1, 101.0), (2, 102.0), (2, 140.0), (3, 141.0), (9, 100.0)]]
+    marks = F.array(*(F.struct(F.lit(m).alias("measure"), F.lit(t).alias("tempo")) for m, t in rows))
+    assert [(x.measure, x.tempo) for x in one(spark, sequence.thinned(marks).alias("x")).x] == [(1, 100.0), (2, 140.0), (9, 100.0)]
