@@ -61,16 +61,21 @@ class Query:
 def retrieve(notes: DataFrame, postings: DataFrame, query: Query) -> DataFrame:
     """Diversified candidates (``sid``, ``start``, ``evidence``) of a query."""
     n = len(query.notes)
-    q = for_mode(tokens(query.frame(notes.sparkSession)).drop("sid"), query.mode).cache()
+    q = _held(for_mode(tokens(query.frame(notes.sparkSession)).drop("sid"), query.mode))  # a few dozen rows
     steps = [b["p"] - a["p"] for a, b in zip(query.notes, query.notes[1:])]
     robust = query.mode != "rhythm" and n >= 8 and not _says_little(query.notes, steps)
-    limits = rarity(q, frequencies(postings.join(F.broadcast(q.select("token").distinct()), "token")), n, robust)
+    limits = _held(rarity(q, frequencies(postings.join(F.broadcast(q.select("token").distinct()), "token")), n, robust))
     own = capped_postings(postings, limits).select("token", "sid", "pos").distinct()
     found = retrieval.candidates(own, q, n, q.filter("kind IN ('i', 'i5')").count())
     found = retrieval.scoped(found, query.scope, query.exclude)
     return retrieval.diversified(found, 8 if n >= 8 else 3, 1800 if query.exact_only else 1400 if n >= 8 else 350)
 
 
+def _held(rows: DataFrame) -> DataFrame:
+    """A table of bounded size as rows on the driver: what follows is planned without what went before."""
+    return rows.sparkSession.createDataFrame(rows.collect(), rows.schema)
+
+
 def _says_little(notes: list[dict], steps: list[int]) -> bool:
     n, pitches = len(notes), [x["p"] for x in notes]
     top = max(pitches.count(p) for p in set(pitches)) / max(1, n)
@@ -343,12 +348,13 @@ def search(notes: DataFrame, postings: DataFrame, query: Query, roles: DataFrame
     own = annotation.annotate(query.frame(spark).withColumn("m", F.lit(1)), *query.meter).orderBy("pos").select(*_NOTE).collect()
     scorer = spark.sparkContext.broadcast(Scorer(query, [r.asDict() for r in own]))
     margin = max(3, math.ceil(0.3 * n))
-    found = retrieve(notes, postings, query)
+    found = _held(retrieve(notes, postings, query).select("sid", "start", "evidence"))  # at most 1,800 rows
+    notes = notes.join(F.broadcast(found.select("sid").distinct()), "sid", "left_semi")
     spans = matching.exact_occurrences(notes, [x["p"] for x in query.notes]).groupBy("sid").agg(F.min("start").alias("exact_start"))
     seeds = found.select("sid", "start", "evidence").join(spans, "sid", "left")
     at = F.coalesce("exact_start", "start")
     seeds = seeds.select("sid", at.alias("start"), "evidence", F.col("exact_start").isNotNull().alias("is_exact")).groupBy("sid", "start", "is_exact").agg(F.max("evidence").alias("evidence"))
-    streams = annotation.annotate(notes, *query.meter).join(seeds.select("sid").distinct(), "sid", "left_semi")
+    streams = annotation.annotate(notes, *query.meter)
     streams = streams.groupBy("sid").agg(F.min("src").alias("src"), F.sort_array(F.collect_list(F.struct("pos", *_NOTE))).alias("notes"))
     if roles is None:
         streams = streams.withColumn("melody_role", F.lit(1.0))
