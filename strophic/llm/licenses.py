@@ -52,10 +52,12 @@ def _lines(text: Column) -> Column:
 
 
 def statistics(docs: DataFrame) -> tuple[int, dict[str, int]]:
-    """Number of lines with words, and in how many of them each template word is: one row over all documents."""
-    lines = docs.select(F.explode(_lines(F.col("text"))).alias("x")).select("x.words")
-    row = lines.agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.array_contains("words", t)).alias(t) for t in VOCABULARY)).first()
-    return row["n"], {t: row[t] for t in VOCABULARY}
+    """Number of lines with words, and in how many of them each template word is, over all documents."""
+    known = F.array(*(F.lit(t) for t in VOCABULARY))
+    lines = docs.select(F.explode(_lines(F.col("text"))).alias("x")).select(F.array_intersect("x.words", known).alias("own"))
+    each = lines.select(F.explode(F.concat("own", F.array(F.lit("")))).alias("term"))  # the empty word counts lines
+    counts = {r["term"]: r["n"] for r in each.groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a template word
+    return counts.get("", 0), {t: counts.get(t, 0) for t in VOCABULARY}
 
 
 def scan(docs: DataFrame) -> DataFrame:
