@@ -223,14 +223,14 @@ ml AS (SELECT *, sum(nw) OVER (PARTITION BY src ORDER BY "begin") AS isl FROM mg
 
 
 def _chords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = harmony.dedupe(event_notes(spark, sf_dir).filter("o < 40"))
+    ev = harmony.dedupe(event_notes(spark, sf_dir))
     return harmony.fit(harmony.sounding(harmony.segments(ev), ev))
 
 
 @query(f'WITH {_HARM_SQL} SELECT src, "begin", "end", array_to_string(pcs, \',\') AS pcs, low FROM sn')
 def sounding_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which notes sound in the middle of each segment."""
-    ev = harmony.dedupe(event_notes(spark, sf_dir).filter("o < 40"))
+    ev = harmony.dedupe(event_notes(spark, sf_dir))
     return harmony.sounding(harmony.segments(ev), ev).withColumn("pcs", F.array_join(F.col("pcs").cast("array<string>"), ","))
 
 
@@ -259,7 +259,7 @@ def cadences(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT src, at_ AS "at", count(*) AS chords, min(kind)::INT AS arrival, (arg_min(root, (kind, -"begin", root)) FILTER (kind IS NOT NULL))::INT AS root, arg_min(quality, (kind, -"begin", root)) FILTER (kind IS NOT NULL) AS quality FROM nr GROUP BY src, at_""")
 def boundary_harmony(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chords around the ends of long notes, and which one they arrive at."""
-    ev = harmony.dedupe(event_notes(spark, sf_dir).filter("o < 40"))
+    ev = harmony.dedupe(event_notes(spark, sf_dir))
     return harmony.around_boundaries(ev.filter("d = 2").select("src", (F.col("o") + F.col("d")).alias("at")).distinct(), harmony.merge(_chords(spark, sf_dir)))
 
 
