@@ -76,3 +76,15 @@ def capped_postings(postings: DataFrame, limits: DataFrame) -> DataFrame:
 def overlap(query: Column, candidate: Column) -> Column:
     """Share of the query's tokens that the candidate has."""
     return F.size(F.filter(query, lambda x: F.array_contains(candidate, x))) / F.greatest(F.size(query), F.lit(1))
+
+
+def overlaps(queries: DataFrame, candidates: DataFrame, least: float) -> DataFrame:
+    """Pairs of a query (``q``) and a candidate (``w``) whose ``overlap`` is at least ``least`` (above 0), with the ``share``.
+
+    Both are sets of tokens. Pairs meet in an equality join of tokens, so that only those with a common token are made.
+    """
+    own = candidates.withColumn("row", F.monotonically_increasing_id())
+    sought = queries.withColumns({"query": F.monotonically_increasing_id(), "size": F.size("q")})
+    hits = own.select("row", F.explode("w").alias("token")).join(F.broadcast(sought.select("query", F.explode("q").alias("token"))), "token").groupBy("row", "query").agg(F.count(F.lit(1)).alias("hits"))
+    near = hits.join(F.broadcast(sought.drop("q")), "query").withColumn("share", F.col("hits") / F.col("size")).filter(F.col("share") >= least)
+    return near.join(own.drop("w"), "row").drop("row", "query", "hits", "size")

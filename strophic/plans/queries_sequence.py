@@ -100,9 +100,8 @@ def structural_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {NOTES_SQL}, s AS (SELECT *, CASE WHEN pos % 7 = 3 THEN 0 ELSE d END AS d0 FROM notes WHERE pos < 5 OR sid % 3 > 0), k AS (SELECT *, count(*) OVER (PARTITION BY sid) AS size FROM s WHERE d0 > 0)
 SELECT sid, row_number() OVER (PARTITION BY sid ORDER BY pos) - 1 AS pos, p, d0 AS d FROM k WHERE size >= 5""")
 def finalize_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P15, with some durations set to none and some streams cut short."""
-    n = _notes(spark, sf_dir).filter("pos < 5 OR sid % 3 > 0").withColumn("d", F.when(F.col("pos") % 7 == 3, 0.0).otherwise(F.col("d")))
-    return seq.finalize(n, 5).select("sid", "pos", "p", "d")
+    """P15 over all notes of all streams."""
+    return seq.finalize(_notes(spark, sf_dir), 5).select("sid", "pos", "p", "d")
 
 
 @query("""WITH pts AS (SELECT user_id AS sid, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, floor(value)::DOUBLE AS y FROM events),
@@ -191,12 +190,11 @@ def posting_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH t AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '')) AS w FROM documents), b AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '')) AS q FROM benchmark WHERE item_id < 5)
 SELECT doc_id, item_id, round(len(list_filter(q, lambda x: list_contains(w, x))) / len(q), 6) AS share FROM t, b WHERE len(list_filter(q, lambda x: list_contains(w, x))) / len(q) >= 0.5""")
 def token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five stated queries against all documents."""
+    """All benchmark items as queries against all documents."""
     bag = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z]+"), lambda x: x != ""))
     t = table(spark, sf_dir, "documents").select("doc_id", bag("text").alias("w"))
-    b = table(spark, sf_dir, "benchmark").filter("item_id < 5").select("item_id", bag("text").alias("q"))
-    x = t.crossJoin(F.broadcast(b)).withColumn("share", tokens.overlap(F.col("q"), F.col("w")))
-    return x.filter("share >= 0.5").select("doc_id", "item_id", F.round("share", 6).alias("share"))
+    b = table(spark, sf_dir, "benchmark").select("item_id", bag("text").alias("q"))
+    return tokens.overlaps(b, t, 0.5).select("doc_id", "item_id", F.round("share", 6).alias("share"))
 
 
 @query(f"WITH {_HITS_SQL} SELECT sid, start, evidence, interval_hits, interval_evidence, rhythm_hits, positions FROM ev")
@@ -352,7 +350,7 @@ def alignment_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = _notes(spark, sf_dir)
     p = _query_pitches(n)[0][:5]
     q = F.array(*(F.lit(x) for x in p))
-    w = matching.windows(n.filter("sid < 20"), 8, ("p",))
+    w = matching.windows(n, 8, ("p",))
     cost = alignment.local_cost(q, F.col("p"), 0.5, 0.4, alignment.interval_substitution(q, F.col("p")))
     return w.select("sid", "start", F.round(cost, 6).alias("cost"))
 
