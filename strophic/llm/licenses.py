@@ -1,9 +1,9 @@
 """Licence scans with DataFrame and SQL functions only: TF-IDF cosine to templates, then inheritance along paths.
 
 A line's vector has 1 * idf for each of its distinct words (runs of a-z and 0-9 of lower-cased text). idf(t) = ln((1 + N) / (1 + df)) + 1 over
-all N lines with words of all documents; a word outside the templates weighs as one that occurs in no line. A line whose cosine to a
-template is at least ``SIMILAR`` is a licence line. Lines that can't reach it, by the share of their weight that lies on
-template words, are dropped before any template is looked at; the bound is exact (Cauchy-Schwarz).
+all N lines with words of all documents, for every word: document frequencies are one grouped pass. A line whose cosine to a
+template is at least ``SIMILAR`` is a licence line. Lines that can't reach it even if each of their words outside the templates
+had the least idf (1) are dropped before those words' idf are joined to the rest; the bound is exact.
 
 A document's own licence is that of its best line (ties: first name). A document of whose words at least half are on licence lines
 is a licence file: it holds for its directory and all below, the nearest directory first. Directories are resolved once
@@ -51,39 +51,48 @@ def _lines(text: Column) -> Column:
     return F.transform(F.filter(words, lambda w: F.size(w) > 0), lambda w: F.struct(F.array_distinct(w).alias("words"), F.size(w).alias("n")))
 
 
-def statistics(docs: DataFrame) -> tuple[int, dict[str, int]]:
-    """Number of lines with words, and in how many of them each template word is, over all documents."""
-    known = F.array(*(F.lit(t) for t in VOCABULARY))
-    lines = docs.select(F.explode(_lines(F.col("text"))).alias("x")).select(F.array_intersect("x.words", known).alias("own"))
-    each = lines.select(F.explode(F.concat("own", F.array(F.lit("")))).alias("term"))  # the empty word counts lines
-    counts = {r["term"]: r["n"] for r in each.groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a template word
-    return counts.get("", 0), {t: counts.get(t, 0) for t in VOCABULARY}
+def frequencies(docs: DataFrame) -> DataFrame:
+    """In how many lines with words each word (``term``) is, over all documents; the empty word counts lines."""
+    lines = docs.select(F.explode(_lines(F.col("text"))).alias("x"))
+    each = lines.select(F.explode(F.concat("x.words", F.array(F.lit("")))).alias("term"))
+    return each.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """Own licence of each document (``path``, ``text``): adds ``own_license``, ``similarity`` and ``is_file``; ``text`` goes."""
-    n, df = statistics(docs)
-    square = {t: (math.log((1 + n) / (1 + df[t])) + 1) ** 2 for t in VOCABULARY}
-    other = (math.log(1 + n) + 1) ** 2
+    counts = materialise(frequencies(docs), "terms")
+    few = {r["term"]: r["n"] for r in counts.filter(F.col("term").isin("", *VOCABULARY)).collect()}  # a row a template word
+    n = few.get("", 0)
+    square = {t: (math.log((1 + n) / (1 + few.get(t, 0))) + 1) ** 2 for t in VOCABULARY}
     weight = F.create_map(*(F.lit(x) for t in VOCABULARY for x in (t, square[t])))
     total = lambda words: F.aggregate(words, F.lit(0.0), lambda s, w: s + F.element_at(weight, w))
     known = F.array(*(F.lit(t) for t in VOCABULARY))
-    lines = F.transform(_lines(F.col("text")), lambda x: F.struct(F.array_intersect(x["words"], known).alias("known"), (F.size(x["words"]) - F.size(F.array_intersect(x["words"], known))).alias("unknown"), x["n"].alias("n")))
-    weighed = F.transform(F.filter("lines", lambda x: F.size(x["known"]) > 0), lambda x: F.struct(x["known"].alias("known"), total(x["known"]).alias("mass"), x["unknown"].alias("unknown"), x["n"].alias("n")))
-    able = F.filter(weighed, lambda x: x["mass"] >= SIMILAR**2 * (x["mass"] + x["unknown"] * other))
-
-    def cosine(x, template):
-        own = terms(template)
-        dot = total(F.array_intersect(x["known"], F.array(*(F.lit(t) for t in own))))
-        return dot / F.sqrt((x["mass"] + x["unknown"] * other) * sum(square[t] for t in own))
-
-    best = F.transform("able", lambda x: F.array_max(F.array(*(F.struct(F.round(cosine(x, text), 6).alias("similarity"), F.lit(-k).alias("order"), F.lit(name).alias("name"), x["n"].alias("n")) for k, (name, text) in enumerate(TEMPLATES.items())))))
-    out = docs.withColumn("lines", lines).withColumn("words", F.aggregate("lines", F.lit(0), lambda s, x: s + x["n"]))
-    out = out.withColumn("able", able).withColumn("hits", F.filter(best, lambda x: x["similarity"] >= SIMILAR))
-    top = F.array_max("hits")
-    share = F.aggregate("hits", F.lit(0), lambda s, x: s + x["n"])
+
+    def cosines(own, mass):
+        """Cosine to each template of a line with these template words and this sum of squares."""
+        for k, (name, text) in enumerate(TEMPLATES.items()):
+            dot = total(F.array_intersect(own, F.array(*(F.lit(t) for t in terms(text)))))
+            yield F.struct(F.round(dot / F.sqrt(mass * sum(square[t] for t in terms(text))), 6).alias("similarity"), F.lit(-k).alias("order"), F.lit(name).alias("name"))
+
+    split = F.transform("lines", lambda x: F.struct(F.array_intersect(x["words"], known).alias("known"), x["words"].alias("words"), x["n"].alias("n")))
+    weighed = F.transform(F.filter(split, lambda x: F.size(x["known"]) > 0), lambda x: F.struct(x["known"].alias("known"), total(x["known"]).alias("mass"), x["words"].alias("words"), x["n"].alias("n")))
+    low = lambda x: x["mass"] + F.size(x["words"]) - F.size(x["known"])  # noqa: E731 - no idf is under 1
+    near = F.filter(weighed, lambda x: x["mass"] >= (SIMILAR - 1e-6) ** 2 * low(x))  # Cauchy-Schwarz
+    able = F.filter("near", lambda x: F.array_max(F.array(*cosines(x["known"], low(x))))["similarity"] >= SIMILAR)
+    able = F.transform(able, lambda x: F.struct(x["known"].alias("known"), x["mass"].alias("mass"), F.array_except(x["words"], x["known"]).alias("unknown"), x["n"].alias("n")))
     keep = [c for c in docs.columns if c != "text"]
-    return out.select(*keep, top["name"].alias("own_license"), top["similarity"].alias("similarity"), ((F.size("hits") > 0) & (share >= FILE_SHARE * F.col("words"))).alias("is_file"))
+    read = docs.withColumn("lines", _lines(F.col("text"))).withColumn("words", F.aggregate("lines", F.lit(0), lambda s, x: s + x["n"])).withColumn("near", near)
+    read = materialise(read.select(*keep, F.monotonically_increasing_id().alias("row"), "words", able.alias("able")), "lines")  # rows keep their numbers
+    lines = read.select("row", F.posexplode("able").alias("line", "x"))
+    others = lines.select("row", "line", F.explode("x.unknown").alias("term"))
+    idf = counts.select("term", F.pow(F.log((1 + n) / (1 + F.col("n"))) + 1, 2).alias("w"))
+    # in one order, so that sums are the same in every run
+    other = salted_join(others, idf, "term").groupBy("row", "line").agg(F.aggregate(F.sort_array(F.collect_list("w")), F.lit(0.0), lambda s, w: s + w).alias("other"))
+    lines = lines.join(other, ["row", "line"], "left").withColumn("mass", F.col("x.mass") + F.coalesce("other", F.lit(0.0)))
+    best = lines.select("row", F.col("x.n").alias("n"), F.array_max(F.array(*cosines(F.col("x.known"), F.col("mass")))).alias("best")).filter(F.col("best.similarity") >= SIMILAR)
+    hits = best.groupBy("row").agg(F.max("best").alias("top"), F.sum("n").alias("share"))
+    is_file = F.coalesce(F.col("share") >= FILE_SHARE * F.col("words"), F.lit(False))
+    return read.drop("able").join(hits, "row", "left").select(*keep, F.col("top.name").alias("own_license"), F.col("top.similarity").alias("similarity"), is_file.alias("is_file"))
 
 
 def _parent(path: Column) -> Column:
