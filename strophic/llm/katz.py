@@ -8,8 +8,8 @@ tables, partitioned by range) grows with the corpus.
 
 Model, for an n-gram h+w whose training count is c, with c(h) the count of its context:
 
-* c > ``CUTOFF`` (an n-gram of order above 1 seen once is left to backoff, as Katz proposed): p(w|h) = d(c) * c / c(h), with the
-  Good-Turing discount d(c) for c <= ``K`` and 1 above;
+* c > ``cutoff`` (``CUTOFF`` for n-grams of order above 1 if none is given, as Katz proposed; 0 keeps all): p(w|h) = d(c) * c / c(h), with
+  the Good-Turing discount d(c) for c <= ``K`` and 1 above;
 * otherwise p(w|h) = a(h) * p(w|h'), h' being h without its first token. a(h) = (1 - sum of p over kept successors) / (1 - sum of p(.|h') over
   kept successors), so that probabilities add up to 1 exactly; a(h) = 1 if h has no kept successor;
 * order 1: p(w) = d(c) * c / N; what the discounts leave is the probability of the one class of unknown tokens.
@@ -188,11 +188,11 @@ def _add_up(order: int):
 class Model:
     """Discounts of each order, from the counts of counts."""
 
-    def __init__(self, order: int, stats: list[np.ndarray]):
-        self.order = order
+    def __init__(self, order: int, stats: list[np.ndarray], cutoff: int = CUTOFF):
+        self.order, self.cutoff = order, cutoff
         self.discount, self.seen, self.tokens = [], 0, 0
         for m, s in enumerate(stats, 1):
-            least = 0 if m == 1 else CUTOFF
+            least = 0 if m == 1 else cutoff
             d = np.ones(K + 1)
             n = [int(x) for x in s[: K + 2]] + [0]
             floor = (K + 1) * n[K + 1] / n[1] if n[1] else 0.0
@@ -253,7 +253,7 @@ def _evaluate(block: Block, answers: Answers, model: Model, order: int):
         if m < order or ("weight", m) in answers.parts:
             weight = np.ones(len(context_keys))
             more = np.ones(len(context_keys))  # 1, or c/(c+1) where a context keeps a count back
-            open_ = _open(before[:-1])
+            open_ = _open(before[:-1], model.cutoff)
             told_weight = answers.get("weight", m, "<f8")
             weight[open_] = np.abs(told_weight)
             c = before[:-1][open_]
@@ -263,9 +263,9 @@ def _evaluate(block: Block, answers: Answers, model: Model, order: int):
     return p, count, state
 
 
-def _open(count: np.ndarray) -> np.ndarray:
+def _open(count: np.ndarray, cutoff: int) -> np.ndarray:
     """Contexts that can have a kept successor."""
-    return count > CUTOFF
+    return count > cutoff
 
 
 def _context_sums(order: int, ranges: int, model, fold: int, folds: int):
@@ -282,7 +282,7 @@ def _context_sums(order: int, ranges: int, model, fold: int, folds: int):
                 own = one[speaks[back[one]] & (kept[one] > 0)]
                 keys, _, _ = block.distinct(order - 1)
                 total = answers.get("count", order - 1, "<i8") >> 1
-                open_ = _open(total)
+                open_ = _open(total, model.value.cutoff)
                 mass, low = np.bincount(at[own], kept[own], len(keys)), np.bincount(at[own], lower[own], len(keys))
                 yield _rows(row["block"], ranges, keys[open_], total[open_].astype(np.float64), mass[open_], low[open_])
 
@@ -320,7 +320,7 @@ def _scores(order: int, model, fold: int, folds: int):
     return run
 
 
-def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, fold: int = 1, folds: int = 5) -> DataFrame:
+def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, fold: int = 1, folds: int = 5, cutoff: int = CUTOFF) -> DataFrame:
     """Train on documents whose crc32(id) mod ``folds`` isn't ``fold``; give log10 probabilities of all documents."""
     spark = docs.sparkSession
     ranges = parts_for(docs, 0.5, 16)
@@ -338,7 +338,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: in
         return blocks.join(own, "block")  # a block's answers are bounded by its size
 
     def model():
-        return spark.sparkContext.broadcast(Model(len(stats), stats))
+        return spark.sparkContext.broadcast(Model(len(stats), stats, cutoff))
 
     for m in range(1, order + 1):
         sent = blocks.select("block", "ids", "off", "text").mapInArrow(_count(m, ranges, fold, folds), _MANY)
