@@ -410,8 +410,8 @@ h AS (SELECT *, round(count * (1 + 0.18 * (length - 6)) * log2(2 + total / count
 z AS (SELECT * FROM h a WHERE NOT EXISTS (SELECT 1 FROM h b WHERE b.sid = a.sid AND b.length > a.length AND b.score >= a.score AND instr(',' || b.key || ',', ',' || a.key || ',') > 0))
 SELECT sid, key, length, count, first, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY score DESC, length DESC, first) AS rank FROM z) WHERE rank <= 8""")
 def ranked_motifs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A12, for lengths 6 to 8."""
-    return motifs.ranked_motifs(_notes(spark, sf_dir), 6, 8).select("sid", "key", F.col("length").cast("long").alias("length"), "count", "first", "score", F.col("rank").cast("long").alias("rank"))
+    """A12, for lengths 6 to 12."""
+    return motifs.ranked_motifs(_notes(spark, sf_dir)).select("sid", "key", F.col("length").cast("long").alias("length"), "count", "first", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"""WITH {NOTES_SQL}, s AS (SELECT sid, count(*) AS n, count(DISTINCT p) AS k FROM notes GROUP BY sid) SELECT sid, round(0.5 * (55 + 45 * least(100, greatest(0, 100 * 0.8)) / 100) + 0.35 * least(100, 100 * log2(1 + k) / log2(9.0)) + 0.15 * least(100, 100.0 * k * 6 / greatest(n, 1)), 6) AS importance FROM s""")
@@ -469,14 +469,14 @@ sig AS (SELECT sid, start, length, length || '|' || array_to_string(iv, ',') ||
 @query(f"WITH {_SIG_SQL} SELECT sid, start, length, key FROM sig")
 def motif_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M2."""
-    return phrase.motif_signatures(_notes(spark, sf_dir), 4, 5).withColumn("length", F.col("length").cast("long"))
+    return phrase.motif_signatures(_notes(spark, sf_dir)).withColumn("length", F.col("length").cast("long"))
 
 
 @query(f"""WITH {_SIG_SQL}, nb AS (SELECT *, row_number() OVER (PARTITION BY sid, key ORDER BY start) AS k FROM sig), pr AS (SELECT a.sid, a.start, a.length, b.start AS previous, a.start - b.start AS distance FROM nb a JOIN nb b ON a.sid = b.sid AND a.key = b.key AND a.k - b.k BETWEEN 1 AND 4 WHERE a.start - b.start BETWEEN a.length AND 64)
 SELECT sid, start, length, previous, distance, distance <= 2 * length AS close FROM (SELECT *, row_number() OVER (PARTITION BY sid, start ORDER BY length DESC, previous DESC) AS n FROM pr) WHERE n = 1""")
 def motif_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M3: earlier occurrences of a motif within reach."""
-    return phrase.motif_relations(phrase.motif_signatures(_notes(spark, sf_dir), 4, 5)).withColumn("length", F.col("length").cast("long"))
+    return phrase.motif_relations(phrase.motif_signatures(_notes(spark, sf_dir))).withColumn("length", F.col("length").cast("long"))
 
 
 @query(f"""WITH {NOTES_SQL}, w AS (SELECT sid, pos AS start, list(d) OVER v AS d, list(o) OVER v AS o FROM notes WINDOW v AS (PARTITION BY sid ORDER BY pos ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)), u AS (SELECT *, list_sort(d[1:4])[3] AS unit FROM w WHERE len(d) = 5),
