@@ -35,22 +35,47 @@ def sounding(segs: DataFrame, events: DataFrame, key: str = "src", bin_size: flo
 
 
 def fit(segments_with_notes: DataFrame, key: str = "src") -> DataFrame:
-    """The best of 12 roots x 4 templates for each segment: precision, completeness, bass and extra notes."""
-    options = F.array(*(F.struct(F.lit(r).alias("root"), F.lit(q).alias("quality"), F.lit(k).alias("order"), F.array(*(F.lit((r + x) % 12) for x in t)).alias("tones")) for r in range(12) for k, (q, t) in enumerate(TEMPLATES.items())))
-    x = segments_with_notes.withColumn("t", F.explode(options))  # 48 rows a segment
-    hits = F.size(F.array_intersect("pcs", "t.tones"))
-    score = 0.52 * hits / F.size("pcs") + 0.36 * hits / F.size("t.tones") + F.when(F.pmod("low", F.lit(12)) == F.col("t.root"), 0.12).otherwise(0.0) - 0.08 * (F.size("pcs") - hits)
-    scored = x.withColumn("fit", F.round(score, 6))
-    best = Window.partitionBy(key, "begin").orderBy(F.col("fit").desc(), "t.order", "t.root")
-    return scored.withColumn("n", F.row_number().over(best)).filter("n = 1").select(key, "begin", "end", "pcs", F.col("t.root").alias("root"), F.col("t.quality").alias("quality"), "fit")
+    """The best of 12 roots x 4 templates for each segment of at least two pitch classes.
+
+    Precision, completeness, bass and at most two extra notes count; fewer than two matches cost 0.3, a dominant seventh of fewer than
+    three pitch classes or without its third 0.18. Ties: fewer missing tones, then the lower root. A major or minor chord of which
+    neither third sounds is ``third-ambiguous`` and loses 0.08.
+    """
+    tones = lambda root, steps: F.array(*(F.lit((root + x) % 12) for x in steps))
+    partner = {"major": "minor", "minor": "major"}
+    options = F.array(*(F.struct(F.lit(r).alias("root"), F.lit(q).alias("quality"), F.lit(k).alias("order"), tones(r, t).alias("tones"), tones(r, TEMPLATES[partner.get(q, q)]).alias("other")) for r in range(12) for k, (q, t) in enumerate(TEMPLATES.items())))
+    x = segments_with_notes.filter(F.size("pcs") >= 2).withColumn("t", F.explode(options))  # 48 rows a segment
+    clamped = lambda c: F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)), 6)
+    has = lambda step: F.array_contains("pcs", F.pmod(F.col("t.root") + step, F.lit(12)))
+
+    def score(own: str) -> Column:
+        hits = F.size(F.array_intersect("pcs", own))
+        plain = 0.52 * hits / F.size("pcs") + 0.36 * hits / F.size(own) + F.when(F.pmod("low", F.lit(12)) == F.col("t.root"), 0.12).otherwise(0.0) - 0.08 * F.least(F.lit(2), F.size("pcs") - hits)
+        seventh = (F.col("t.quality") == "dominant7") & ((F.size("pcs") < 3) | ~has(4))
+        return clamped(plain - F.when(hits < 2, 0.3).otherwise(0.0) - F.when(seventh, 0.18).otherwise(0.0))
+
+    missing = F.size("t.tones") - F.size(F.array_intersect("pcs", "t.tones"))
+    scored = x.withColumns({"fit": score("t.tones"), "missing": missing})
+    best = Window.partitionBy(key, "begin").orderBy(F.col("fit").desc(), "missing", "t.root", "t.order")
+    first = scored.withColumn("n", F.row_number().over(best)).filter("n = 1")
+    third = F.when(F.col("t.quality") == "major", has(4)).otherwise(has(3))
+    ambiguous = F.col("t.quality").isin(*partner) & (F.abs(score("t.other") - F.col("fit")) < 1e-6) & ~third
+    quality, own = F.when(ambiguous, "third-ambiguous").otherwise(F.col("t.quality")), F.when(ambiguous, clamped(F.col("fit") - 0.08)).otherwise(F.col("fit"))
+    return first.select(key, "begin", "end", "pcs", F.col("t.root").alias("root"), quality.alias("quality"), own.alias("fit"))
 
 
 def merge(chords: DataFrame, key: str = "src") -> DataFrame:
-    """Neighbouring segments with the same chord become one."""
+    """Neighbouring segments with the same chord become one; those that then fit worse than 0.38 go.
+
+    The fit of merged segments is the running mean of the fit so far and the next one.
+    """
     w = Window.partitionBy(key).orderBy("begin")
     new = ~(F.col("root").eqNullSafe(F.lag("root").over(w)) & F.col("quality").eqNullSafe(F.lag("quality").over(w)) & F.col("begin").eqNullSafe(F.lag("end").over(w)))
     island = chords.withColumn("island", F.sum(new.cast("int")).over(w))
-    return island.groupBy(key, "island").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.first("root").alias("root"), F.first("quality").alias("quality"), F.count(F.lit(1)).alias("atoms")).drop("island")
+    fits = F.transform(F.sort_array(F.collect_list(F.struct("begin", "fit"))), lambda x: x["fit"])
+    merged = island.groupBy(key, "island").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.first("root").alias("root"), F.first("quality").alias("quality"), F.count(F.lit(1)).alias("atoms"), fits.alias("fits")).drop("island")
+    running = F.aggregate(F.slice("fits", 2, F.size("fits")), F.element_at("fits", 1), lambda s, x: F.round((s + x) / 2, 6))
+    return merged.filter(running >= 0.38).drop("fits")
 
 
 def function_of(root: Column, quality: Column, tonic: int, minor: bool = False) -> Column:

@@ -54,4 +54,4 @@ def test_sounding_notes_of_whole_streams(spark, long_streams):
 def test_harmony_reaches_the_end(spark, long_streams, name):
     path, _ = long_streams
     rows = registry.QUERIES[name](spark, path).collect()
-    assert max(r["at"] if name == "boundary_harmony" else r["begin"] for r in rows) > 45
+    assert max(r["at"] if name == "boundary_harmony" else r["begin"] for r in rows) > 42  # notes before 40 end by 42
