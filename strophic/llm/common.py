@@ -7,7 +7,6 @@ keys, and connected components over an edge table.
 
 from __future__ import annotations
 
-import gc
 import math
 import tempfile
 import uuid
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 
 #: Prefix of internal columns, so that they never clash with a caller's columns.
 OWN = "__strophic_"
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,10 +39,19 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def materialise(df: DataFrame, name: str, **options) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it again: cuts lineage, survives lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.options(**({"compression": "zstd"} | options)).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` as a table in the shared folder and read it again: cuts lineage, survives lost executors.
+
+    Shuffle files of the write go when it ends (a session setting that Spark offers for this, put back afterwards).
+    """
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.options(**({"compression": "zstd"} | options)).parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before) if before is not None else spark.conf.unset(_CLEAN)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_table(df: DataFrame) -> None:
@@ -127,13 +136,5 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
             return label.select(F.col("x").alias("node"), F.col("r").alias("root"))
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files of finished steps now: it does so when the driver's garbage is collected."""
-    for _ in range(2):  # the first round lets go of what Python still held in the JVM
-        gc.collect()
-        spark.range(1).write.format("noop").mode("overwrite").save()  # the JVM holds on to the last command
-        spark.sparkContext._jvm.System.gc()
-
-
 def null_as_empty(text: str | Column) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

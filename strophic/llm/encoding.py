@@ -10,7 +10,8 @@ description; any other tokenizer gets whole texts:
   pieces are runs without white space.
 
 A further cut before punctuation that follows an ASCII or Latin-1 letter or an ASCII digit is safe for both: their
-patterns never match across it. Pieces are found on the bytes of many texts at once and looked up by a 64-bit hash.
+patterns never match across it. Pieces are found on the bytes of many texts at once and looked up by a 64-bit hash; a
+piece that is found is compared byte by byte with the one in the table, and encoded for itself if it differs.
 
 The worker's table of pieces is emptied when it is full, so memory is bounded.
 """
@@ -22,11 +23,13 @@ import re
 
 import numpy as np
 
-from .words import _LOWER, SPACED, U, byte_hashes
+from .words import _LOWER, SPACED, U, byte_hashes, same_bytes
 
 #: Pieces that a Python worker remembers; with its table about 90 MB.
 REMEMBERED = 2_000_000
 _SLOTS, _PROBES = 22, 32
+#: Bytes of pieces that are kept for comparison.
+_TEXT = 32 << 20
 _byte = np.arange(256)
 _LETTER = ((_byte | 32) >= 0x61) & ((_byte | 32) <= 0x7A) & (_byte < 0x80) | (_byte >= 0x30) & (_byte <= 0x39)
 _PUNCT = (_byte > 0x20) & (_byte < 0x7F) & ~_LETTER
@@ -70,9 +73,11 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        """An open hash table of pieces: key, first id in ``flat``, number of ids."""
+        """An open hash table of pieces: key, first id in ``flat``, number of ids, and where its bytes are in ``text``."""
         self.keys, self.at, self.size = np.zeros(1 << _SLOTS, U), np.zeros(1 << _SLOTS, np.uint32), np.zeros(1 << _SLOTS, np.uint32)
         self.flat, self.used, self.pieces_known = np.empty(1 << 16, "<u4"), 0, 0
+        self.text, self.text_used = np.empty(1 << 16, np.uint8), 0  # the bytes of the pieces
+        self.text_at, self.text_size = np.zeros(1 << _SLOTS, np.uint32), np.zeros(1 << _SLOTS, np.uint32)
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -179,6 +184,13 @@ class Encoder:
         self.flat[self.used : self.used + need] = np.frombuffer(b"".join(ids), "<u4")
         at = self.used + np.cumsum(size) - size
         self.used += need
+        length = end - start
+        need = int(length.sum())
+        if self.text_used + need > len(self.text):
+            self.text = np.concatenate([self.text[: self.text_used], np.empty(need + self.text_used // 2, np.uint8)])
+        text_at = self.text_used + np.cumsum(length) - length
+        self.text[self.text_used : self.text_used + need] = data[np.repeat(start - (text_at - self.text_used), length) + np.arange(need)]
+        self.text_used += need
         left, base = np.arange(len(h)), (h >> U(64 - _SLOTS)).astype(np.int64)
         for k in range(_PROBES):  # a piece that finds no place is encoded again next time
             slot = (base[left] + k) & ((1 << _SLOTS) - 1)
@@ -186,12 +198,26 @@ class Encoder:
             own, first = np.unique(slot[free], return_index=True)
             mine = left[free[first]]
             self.keys[own], self.at[own], self.size[own] = h[mine], at[mine], size[mine]
+            self.text_at[own], self.text_size[own] = text_at[mine], length[mine]
             self.pieces_known += len(mine)
             left = np.delete(left, free[first])
             if not len(left):
                 break
         return at, size
 
+    def _differing(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, slot: np.ndarray, miss: np.ndarray, learnt: np.ndarray) -> dict[int, bytes]:
+        """Ids of pieces whose hash was found but whose bytes are others. ``learnt``: for each missing piece, the one encoded for it."""
+        length, found = end - start, np.flatnonzero(slot >= 0)
+        same = self.text_size[slot[found]] == length[found]
+        same[same] = same_bytes(data, start[found[same]], self.text[: self.text_used], self.text_at[slot[found[same]]].astype(np.int64), length[found[same]])
+        odd = found[~same]
+        if len(miss):
+            other = miss[learnt]
+            alike = length[miss] == length[other]
+            alike[alike] = same_bytes(data, start[miss[alike]], data, start[other[alike]], length[miss[alike]])
+            odd = np.concatenate([odd, miss[~alike]])
+        return {int(k): self.each([data[start[k] : end[k]].tobytes().decode()])[0] for k in odd}
+
     def encode_bytes(self, data: np.ndarray, off: np.ndarray) -> list[bytes]:
         """The ids of each of some texts, given as their bytes in a row and their offsets."""
         n = len(off) - 1
@@ -209,7 +235,7 @@ class Encoder:
             sizes = np.diff(off)
             sizes[slow] = 0
             data, off = data[keep], np.concatenate([[0], np.cumsum(sizes)])
-        if self.pieces_known > self.remembered or self.used > 1 << 31:
+        if self.pieces_known > self.remembered or self.used > 1 << 31 or self.text_used > _TEXT:
             self._forget()
         start, end = self._pieces_of_bytes(data, off)
         if not len(start):
@@ -221,6 +247,12 @@ class Encoder:
             own, first, back = np.unique(h[miss], return_index=True, return_inverse=True)
             own_at, own_size = self._learn(data, start[miss[first]], end[miss[first]], own)
             at[miss], size[miss] = own_at[back], own_size[back]
+        for k, ids in self._differing(data, start, end, slot, miss, first[back] if len(miss) else miss).items():
+            at[k], size[k] = self.used, len(ids) // 4
+            if self.used + len(ids) // 4 > len(self.flat):
+                self.flat = np.concatenate([self.flat[: self.used], np.empty(len(ids) // 4 + self.used // 2, "<u4")])
+            self.flat[self.used : self.used + len(ids) // 4] = np.frombuffer(ids, "<u4")
+            self.used += len(ids) // 4
         ends = np.cumsum(size)
         raw = self.flat[np.repeat(at - ends + size, size) + np.arange(ends[-1])].tobytes()
         bound = (4 * np.concatenate([[0], ends])[np.searchsorted(start, off)]).tolist()

@@ -4,37 +4,44 @@ A document's set is its distinct shingles of ``words`` consecutive words (A-Z in
 sequence is one shingle. Two documents are linked if 100 * intersection >= ``percent`` * union of their full sets; groups are the
 connected components of the links.
 
-1. Equal sets collapse into a class (128-bit digest); the smallest id stands for it. Copies cost one row each.
+1. Texts whose words are the same in the same order collapse into a class (128-bit BLAKE2 digest of the words); the smallest id
+   stands for it. Copies cost one row each.
 2. Signatures of ``BANDS`` x ``ROWS`` slots; classes that agree in a band share a bucket. A pair with Jaccard similarity 0.8 shares none
    of 24 bands with probability 3.2e-6; the estimates of step 3 lose another 1e-8 (binomial).
 3. Inside buckets, estimates (shares of equal slots) of at least ``LEAST`` of 1 (six standard errors under 0.8) join
    classes into candidate groups. A bucket gives at most one row per member: a spanning forest, found by union-find.
-4. In each candidate group every pair that isn't connected yet is confirmed on the full sets, again giving a spanning forest.
+4. Every class is compared with the smallest one it was joined to, on the full sets of words, not of hashes. Only in groups that this doesn't
+   connect, every pair that isn't connected yet is compared too, again giving a spanning forest.
 5. Connected components of the confirmed links.
 
-Buckets and groups of any size are whole: one with over ``CHUNK`` members is dealt to chunks and each two chunks meet in a task.
+Buckets and groups of any size are whole: one with over ``CHUNK`` members or ``CHUNK_BYTES`` of text is dealt to chunks and each
+two chunks meet in a task.
 
-Defined cases: null or empty text has an empty set and is linked with nothing; rows with the same id are one node; a
-row without an id stands alone; an empty table gives no rows. Other columns are kept as they are.
+Defined cases: null or empty text has an empty set and is linked with nothing; rows with the same id are one node, whose
+text is that with the smallest digest; a row without an id stands alone; an empty table gives no rows. Other columns are kept as they are.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import OWN, components, materialise, null_as_empty, release
+from .common import OWN, components, drop_table, materialise, null_as_empty, salted_join
+from .runs import numbers, whole_runs
 from .superminhash import signatures
-from .words import SPACED, U, Words, mix, rolling, slices
+from .words import SPACED, U, Words, mix, release_memory, rolling, slices
 
 BANDS, ROWS = 24, 4
 LEAST = 0.55
 CHUNK = 1024
-_LEAST_ROWS = 4096
+CHUNK_BYTES = 8 << 20
+#: Rows of one key (a class, a bucket, a group) that a task takes before the key is split.
+PER_SALT = 1000
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,9 +67,13 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, words: int) -> tuple[np.ndar
     return elements, np.searchsorted(of, np.arange(len(off)))
 
 
-def _sums(x: np.ndarray, off: np.ndarray) -> np.ndarray:
-    total = np.concatenate([np.zeros(1, U), np.cumsum(x)])
-    return (total[off[1:]] - total[off[:-1]]).view(np.int64)
+def _normal(raw: bytes) -> bytes:
+    """A-Z in lower case, words joined by one space."""
+    return b" ".join(raw.lower().split())
+
+
+def _digest(normal: bytes) -> bytes:
+    return hashlib.blake2b(normal, digest_size=16).digest()
 
 
 def _sketch(words: int):
@@ -75,39 +86,17 @@ def _sketch(words: int):
                 for b in range(BANDS):
                     keys[:, b] = rolling(slots[:, b * ROWS : (b + 1) * ROWS].ravel(), ROWS)[::ROWS] + U(b)
                 short = (mix(slots) >> U(48)).astype("<u2")
+                raw = data.tobytes()
+                digests = [_digest(_normal(raw[a:b])) for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(i, j - i), pa.array(np.diff(of)), pa.array(_sums(mix(elements), of)), pa.array(_sums(mix(elements ^ U(0x5555555555555555)), of)), pa.FixedSizeListArray.from_arrays(pa.array(mix(keys).view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64())), pa.array([x.tobytes() for x in short], pa.binary())],
-                    names=["id", "n", "d1", "d2", "bands", "signature"],
+                    [batch.column("id").slice(i, j - i), pa.array(np.diff(of)), pa.array(digests, pa.binary()), pa.FixedSizeListArray.from_arrays(pa.array(mix(keys).view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64())), pa.array([x.tobytes() for x in short], pa.binary())],
+                    names=["id", "n", "digest", "bands", "signature"],
                 )
+        release_memory()
 
     return run
 
 
-def _runs(batches, names: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
-    """Batches that hold whole runs of equal keys (rows come sorted by them); small ones are put together."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        new = np.zeros(batch.num_rows, bool)
-        for c in names:
-            x = np.asarray(batch.column(c))
-            new[1:] |= x[1:] != x[:-1]
-            if held and held[-1].column(c)[-1].as_py() != x[0]:
-                new[0] = True
-        last = np.flatnonzero(new)
-        if len(last) and (int(last[-1]) + sum(b.num_rows for b in held)) >= _LEAST_ROWS:
-            cut = int(last[-1])
-            done = held + ([batch.slice(0, cut)] if cut else [])
-            if done:
-                yield pa.Table.from_batches(done).combine_chunks().to_batches()[0]
-            held = [batch.slice(cut)]
-        else:
-            held.append(batch)
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The smallest node that each of ``n`` nodes is connected with, by the edges a-b."""
     root = np.arange(n)
@@ -122,20 +111,12 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def _key_of(batch, names) -> np.ndarray:
-    new = np.zeros(batch.num_rows, bool)
-    for c in names:
-        x = np.asarray(batch.column(c))
-        new[1:] |= x[1:] != x[:-1]
-    return np.cumsum(new)
-
-
 def _similar(percent: int):
     """Rows of buckets to a spanning forest of the pairs whose estimates are high enough."""
 
     def run(batches):
-        for batch in _runs(batches, ("key", "c1", "c2")):
-            run_of, ids, n = _key_of(batch, ("key", "c1", "c2")), np.asarray(batch.column("id")), np.asarray(batch.column("n"))
+        for batch in whole_runs(batches, ("key", "c1", "c2")):
+            run_of, ids, n = numbers(batch, ("key", "c1", "c2")), np.asarray(batch.column("id")), np.asarray(batch.column("n"))
             sig = np.frombuffer(b"".join(batch.column("signature").to_pylist()), "<u2").reshape(len(ids), -1)
             a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             longest = int(np.bincount(run_of).max())
@@ -157,31 +138,76 @@ def _similar(percent: int):
     return run
 
 
-def _linked(percent: int):
-    """Rows of candidate groups, with full sets, to a spanning forest of the confirmed links."""
+def _shingles(normal: bytes, words: int) -> set[tuple[bytes, ...]]:
+    w = normal.split(b" ")
+    return set(zip(*(w[k:] for k in range(words)))) if len(w) >= words else {tuple(w)}
+
+
+def _with_head(words: int, percent: int):
+    """Rows (id, its text, the smallest id it was joined to, that one's text) to the links among them."""
+
+    def run(batches):
+        head, held = None, set()
+        for batch in batches:
+            out = []
+            for x, text, star, other in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "star", "head"))):
+                if star != head:
+                    head, held = star, _shingles(other, words)
+                own = _shingles(text, words)
+                both = len(own & held)
+                if 100 * both >= percent * (len(own) + len(held) - both):
+                    out.append((x, star))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64())], names=["a", "b"])
+        release_memory()
+
+    return run
+
+
+def numbered(texts: list[bytes], words: int) -> list[np.ndarray]:
+    """The distinct shingles of some texts as numbers: equal numbers are equal words."""
+    number: dict[bytes, int] = {}
+    rows = [np.array([number.setdefault(w, len(number)) for w in t.split(b" ")], np.int64) for t in texts]
+    long = [r for r in rows if len(r) >= words]
+    own = [r[: len(r) - words + 1] for r in long]
+    for k in range(1, words):  # a run of k + 1 words is a run of k words and a word
+        at = np.cumsum([0, *map(len, own)])
+        joined = np.concatenate(own) * len(number) + np.concatenate([r[k : len(r) - words + 1 + k] for r in long]) if own else np.empty(0, np.int64)
+        _, joined = np.unique(joined, return_inverse=True)
+        own = [joined[a:b] for a, b in zip(at[:-1], at[1:])]
+    whole: dict[bytes, int] = {}
+    found = iter(own)
+    return [np.unique(next(found)) if len(r) >= words else np.array([-1 - whole.setdefault(t, len(whole))]) for r, t in zip(rows, texts)]
+
+
+def _linked(words: int, percent: int):
+    """Rows of candidate groups to a spanning forest of the confirmed links, beside those already known (equal ``root``)."""
 
     def run(batches):
-        for batch in _runs(batches, ("grp", "c1", "c2")):
-            run_of, ids = _key_of(batch, ("grp", "c1", "c2")), np.asarray(batch.column("id"))
-            sets = [np.frombuffer(x, U) for x in batch.column("elements").to_pylist()]
+        for batch in whole_runs(batches, ("grp", "c1", "c2")):
+            run_of, ids, known = numbers(batch, ("grp", "c1", "c2")), np.asarray(batch.column("id")), np.asarray(batch.column("root"))
+            texts = batch.column("text")
             out_a, out_b = [], []
             bounds = np.concatenate([[0], np.flatnonzero(np.diff(run_of)) + 1, [len(ids)]])
             for lo, hi in zip(bounds[:-1], bounds[1:]):
-                root = _confirm(sets[lo:hi], percent)
+                _, first, back = np.unique(known[lo:hi], return_index=True, return_inverse=True)
+                root = _confirm(numbered(texts.slice(lo, hi - lo).to_pylist(), words), percent, first[back])
                 tied = np.flatnonzero(root != np.arange(hi - lo))
                 out_a.append(ids[lo + tied])
                 out_b.append(ids[lo + root[tied]])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
+        release_memory()
 
     return run
 
 
-def _confirm(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """Components of the links among some sets. Intersections are counted exactly, by blocks of a 0/1 matrix product."""
+def _confirm(sets: list[np.ndarray], percent: int, known: np.ndarray) -> np.ndarray:
+    """Components of the links among some sets, ``known`` ones included. Intersections are counted exactly, by blocks of a 0/1 matrix product."""
     n, size = len(sets), np.array([len(s) for s in sets])
+    tied = np.flatnonzero(known != np.arange(n))
+    root = _forest(n, tied, known[tied])
     if n == 2:
         both = np.intersect1d(sets[0], sets[1], assume_unique=True).size
-        return np.array([0, 0 if 100 * both >= percent * (size.sum() - both) else 1])
+        return np.array([0, 0 if root[1] == 0 or 100 * both >= percent * (size.sum() - both) else 1])
     flat, of = np.concatenate(sets), np.repeat(np.arange(n), size)
     word, back, count = np.unique(flat, return_inverse=True, return_counts=True)
     shared = count[back] > 1
@@ -189,13 +215,12 @@ def _confirm(sets: list[np.ndarray], percent: int) -> np.ndarray:
     of, col = of[shared], number[back][shared]
     order = np.argsort(col, kind="stable")
     of, col = of[order], col[order]
-    width, block, at = 2048, 256, 0
-    root = np.arange(n)
+    width, block = 2048, 256
     edges = np.searchsorted(col, np.arange(0, int(number[-1]) + 1 + width, width)) if len(number) else np.zeros(1, int)
     for i in range(0, n, block):
         for j in range(i, n, block):
             ni, nj = min(block, n - i), min(block, n - j)
-            if len(np.unique(root[i : i + ni])) == 1 and len(np.unique(root[j : j + nj])) == 1 and root[i] == root[j]:
+            if (root[i : i + ni] == root[i]).all() and (root[j : j + nj] == root[i]).all():
                 continue  # all are connected
             both = np.zeros((ni, nj), np.float32)
             for e in range(len(edges) - 1):
@@ -210,60 +235,78 @@ def _confirm(sets: list[np.ndarray], percent: int) -> np.ndarray:
             p, q = np.nonzero(100 * both >= percent * union)
             known = np.flatnonzero(root != np.arange(n))
             root = _forest(n, np.concatenate([p + i, known]), np.concatenate([q + j, root[known]]))
-            at += 1
     return root
 
 
-def _chunked(rows: DataFrame, key: str) -> DataFrame:
-    """Rows with ``c1``, ``c2``: every two rows of a key meet in some (key, c1, c2) of bounded size."""
-    large = rows.groupBy(key).agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > CHUNK).select(key, F.ceil(F.col("members") / CHUNK).cast("int").alias("chunks"))
-    chunks = F.coalesce(F.col("chunks"), F.lit(1))
-    mine = F.pmod(F.xxhash64("id"), chunks.cast("long")).cast("int")
-    met = F.transform(F.sequence(F.lit(0), chunks - 1), lambda x: F.struct(F.least(x, F.col("mine")).alias("c1"), F.greatest(x, F.col("mine")).alias("c2")))
-    return rows.join(large, key, "left").withColumn("mine", mine).withColumn("met", F.explode(met)).select(*rows.columns, "met.c1", "met.c2")
+def _chunked(rows: DataFrame, key: str, size: Column | None = None) -> DataFrame:
+    """Rows with ``c1``, ``c2``: every two rows of a key meet in some (key, c1, c2) of bounded size. Keys of one row go."""
+    need = F.ceil(F.count(F.lit(1)) / CHUNK)
+    if size is not None:
+        need = F.greatest(need, F.ceil(F.sum(size) / CHUNK_BYTES))
+    chunks = rows.groupBy(key).agg(F.count(F.lit(1)).alias("members"), need.cast("int").alias("chunks")).filter("members > 1").select(key, "chunks")
+    mine = F.pmod(F.xxhash64("id"), F.col("chunks").cast("long")).cast("int")
+    met = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda x: F.struct(F.least(x, F.col("mine")).alias("c1"), F.greatest(x, F.col("mine")).alias("c2")))
+    return salted_join(rows, chunks, key, rows_per_salt=PER_SALT).withColumn("mine", mine).withColumn("met", F.explode(met)).select(*rows.columns, "met.c1", "met.c2")
 
 
-def _together(rows: DataFrame, key: str, run: Callable, schema: str) -> DataFrame:
-    return rows.repartition(key, "c1", "c2").sortWithinPartitions(key, "c1", "c2", "id").mapInArrow(run, schema)
+def _together(rows: DataFrame, key: str, run: Callable, schema: str, *order: str) -> DataFrame:
+    return rows.repartition(key, "c1", "c2").sortWithinPartitions(key, "c1", "c2", *order, "id").mapInArrow(run, schema)
 
 
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 2, percent: int = 80) -> DataFrame:
     """(``id``, ``n_shingles``, ``class_id``, ``component_id``) for each distinct id."""
-    spark = docs.sparkSession
     plain = docs.select(F.col(doc_id).cast("long").alias("id"), null_as_empty(text).alias("text")).filter("id IS NOT NULL")
-    sketches = materialise(plain.mapInArrow(_sketch(words), "id long, n long, d1 long, d2 long, bands array<long>, signature binary"), "sketches")
-    classes = sketches.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("class_id"))
-    members = sketches.select("id", "n", "d1", "d2").join(classes, ["n", "d1", "d2"], "left").select("id", "n", F.coalesce("class_id", "id").alias("class_id"))
-    members = materialise(members.groupBy("id").agg(F.max("n").alias("n"), F.min("class_id").alias("class_id")), "members")
-    release(spark)
-    heads = members.filter("id = class_id AND n > 0").select("id")
-    heads = materialise(sketches.join(heads, "id").dropDuplicates(["id"]), "heads")
-    keyed = heads.select(F.explode("bands").alias("key"), "id")
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("key")
-    shared = materialise(keyed.join(shared, "key"), "shared")
-    release(spark)
-    buckets = shared.join(heads.select("id", "n", "signature"), "id")
-    near = materialise(_together(_chunked(buckets, "key"), "key", _similar(percent), "a long, b long").distinct(), "similar")
-    candidates = components(near, "a", "b")
-    release(spark)
-    texts = plain.join(candidates.withColumnRenamed("node", "id"), "id").dropDuplicates(["id"])
-    full = materialise(texts.mapInArrow(_full_sets(words), "grp long, id long, elements binary"), "sets")
-    release(spark)
-    links = materialise(_together(_chunked(full, "grp"), "grp", _linked(percent), "a long, b long").distinct(), "links")
+    sketches = materialise(plain.mapInArrow(_sketch(words), "id long, n long, digest binary, bands array<long>, signature binary"), "sketches")
+    nodes = materialise(sketches.groupBy("id").agg(F.min(F.struct("digest", "n")).alias("x")).select("id", "x.digest", "x.n"), "nodes")
+    classes = nodes.filter("n > 0").groupBy("digest").agg(F.min("id").alias("class_id"))
+    members = salted_join(nodes, classes, "digest", "left", PER_SALT).select("id", "n", "digest", F.coalesce("class_id", "id").alias("class_id"))
+    members = materialise(members, "members")
+    drop_table(nodes)
+    chosen = members.filter("id = class_id AND n > 0").select("id", "digest")
+    heads = materialise(sketches.join(chosen, ["id", "digest"]).dropDuplicates(["id"]).select("id", "n", "bands", "signature"), "heads")
+    drop_table(sketches)
+    keys = materialise(heads.select(F.explode("bands").alias("key"), "id"), "keys")
+    buckets = _chunked(keys, "key").join(heads.select("id", "n", "signature"), "id")
+    near = materialise(_together(buckets, "key", _similar(percent), "a long, b long").distinct(), "similar")
+    drop_table(heads)
+    drop_table(keys)
+    links = _confirmed(plain, near, members, words, percent)
     found = components(links, "a", "b").select(F.col("node").alias("class_id"), F.col("root").alias("component_id"))
-    release(spark)
-    return members.join(found, "class_id", "left").select("id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("component_id", "class_id").alias("component_id"))
-
-
-def _full_sets(words: int):
-    def run(batches):
-        for batch in batches:
-            for i, j, data, off in slices(batch.column("text")):
-                elements, of = shingle_sets(data, off, words)
-                raw = [elements[a:b].tobytes() for a, b in zip(of[:-1], of[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column("root").slice(i, j - i), batch.column("id").slice(i, j - i), pa.array(raw, pa.binary())], names=["grp", "id", "elements"])
-
-    return run
+    drop_table(links)
+    hot = salted_join(members.select("id", "n", "class_id"), found, "class_id", "left", PER_SALT)
+    return hot.select("id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("component_id", "class_id").alias("component_id"))
+
+
+def _confirmed(plain: DataFrame, near: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (``a``, ``b``) that hold on full sets and connect all that such links connect in a candidate group."""
+    candidates = components(near, "a", "b").select(F.col("node").alias("id"), F.col("root").alias("grp"))
+    wanted = candidates.join(members.filter("id = class_id").select("id", "digest"), "id")
+    texts = materialise(plain.join(wanted, "id").mapInArrow(_texts, "grp long, id long, text binary").dropDuplicates(["id"]), "texts")
+    stars = near.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("star"))
+    own = materialise(stars.join(texts.select("id", "text"), "id"), "stars")
+    pairs = salted_join(own, texts.select(F.col("id").alias("star"), F.col("text").alias("head")), "star", rows_per_salt=PER_SALT)
+    sure = materialise(pairs.sortWithinPartitions("star").mapInArrow(_with_head(words, percent), "a long, b long"), "links")
+    drop_table(own)
+    drop_table(near)
+    roots = materialise(texts.select("grp", "id").join(components(sure, "a", "b").select(F.col("node").alias("id"), "root"), "id", "left").select("grp", "id", F.coalesce("root", "id").alias("root")), "roots")
+    apart = roots.groupBy("grp").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("grp")
+    rest = materialise(salted_join(roots, apart, "grp", rows_per_salt=PER_SALT).join(texts.select("id", "text"), "id"), "apart")
+    drop_table(texts)
+    drop_table(roots)
+    more = _together(_chunked(rest, "grp", F.octet_length("text")), "grp", _linked(words, percent), "a long, b long", "root")
+    both = materialise(sure.unionByName(more).distinct(), "links")
+    drop_table(sure)
+    drop_table(rest)
+    return both
+
+
+def _texts(batches):
+    """Normalised texts of candidates; of rows with one id, those with the chosen digest."""
+    for batch in batches:
+        normal = [_normal(x) for x in batch.column("text").cast("binary").to_pylist()]
+        keep = np.flatnonzero([_digest(x) == y for x, y in zip(normal, batch.column("digest").to_pylist())])
+        yield pa.RecordBatch.from_arrays([batch.column("grp").take(pa.array(keep)), batch.column("id").take(pa.array(keep)), pa.array([normal[k] for k in keep], pa.binary())], names=["grp", "id", "text"])
+    release_memory()
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:

@@ -1,24 +1,25 @@
 """Words and word hashes of whole texts, vectorised over Arrow buffers.
 
 A text is its UTF-8 bytes. A 256-entry table says which bytes belong to words; a word is a maximal run
-of them inside one document. Words get a 64-bit polynomial hash from prefix sums (so that cost doesn't
-depend on word lengths), finished by a bit mixer. Equal words always have equal hashes.
+of them inside one document. Words get a 64-bit hash that mixes 8 bytes at a time; it isn't linear in the bytes, so
+that no simple family of words has equal hashes. Hashes propose; callers whose contract says so compare bytes.
 """
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U = np.uint64
-_P = 0x9E3779B97F4A7C15 | 5
-_P -= (_P % 8) - 5  # 5 mod 8: powers run through the longest cycle
-_INVERSE = pow(_P, -1, 1 << 64)
-_Q = U(0xD1342543DE82EF95)
-_BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_STEP = 0x9E3779B97F4A7C15
+#: Multipliers of places in a run; odd, so that no place loses bits.
+_PLACES = np.random.default_rng(20240229).integers(1, 1 << 63, 64, dtype=np.uint64) * U(2) + U(1)
+#: Byte ranges longer than this are hashed one by one with xxh3.
+_LONG = 32
 
 _every = np.arange(256)
 #: Words of the form [^\x20\x09-\x0D]+
@@ -38,30 +39,43 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, (n + 1).bit_length())
-    if size not in _powers:
-        up, down = np.full(size, U(_P)), np.full(size, U(_INVERSE))
-        up[0] = down[0] = U(1)
-        np.cumprod(up, out=up)
-        np.cumprod(down, out=down)
-        if size > 1 << 22:
-            return up, down
-        _powers.clear()
-        _powers[size] = up, down
-    return _powers[size]
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes that begin at each byte, as little-endian integers."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def _chunks(length: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+    """For each 8 bytes of byte ranges: the ranges that reach there, the place, and a mask of their bytes."""
+    at, place = np.flatnonzero(length <= longest), 0
+    at = at[length[at] > 0]
+    while len(at):
+        left = np.minimum(length[at] - place, 8).astype(U)
+        yield at, place, ~U(0) >> (U(64) - left * U(8))
+        place += 8
+        at = at[length[at] > place]
 
 
 def byte_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte ranges."""
-    up, down = _power_tables(len(data))
-    total = np.empty(len(data) + 1, U)
-    total[0] = 0
-    np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
-    h = total[end]
-    h -= total[start]
-    h *= down[start]
-    return mix(h)
+    """64-bit hashes of byte ranges: mixed 8 bytes at a time, so equal hashes of ranges of equal length up to 8 are equal bytes."""
+    length = end - start
+    h = mix(length.astype(U) * U(_STEP))
+    eights = _eights(data)
+    for at, place, mask in _chunks(length, _LONG):
+        h[at] = mix(h[at] * U(_STEP) + (eights[start[at] + place] & mask))
+    for k in np.flatnonzero(length > _LONG).tolist():
+        h[k] = xxhash.xxh3_64_intdigest(data[start[k] : end[k]].tobytes())
+    return h
+
+
+def same_bytes(data: np.ndarray, start: np.ndarray, other: np.ndarray, other_start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether byte ranges of two texts are equal, byte by byte."""
+    same, mine, theirs = np.ones(len(length), bool), _eights(data), _eights(other)
+    for at, place, mask in _chunks(length, _LONG):
+        same[at] &= (mine[start[at] + place] & mask) == (theirs[other_start[at] + place] & mask)
+    for k in np.flatnonzero(length > _LONG).tolist():
+        same[k] = np.array_equal(data[start[k] : start[k] + length[k]], other[other_start[k] : other_start[k] + length[k]])
+    return same
 
 
 class Words:
@@ -99,13 +113,37 @@ class Words:
 
 
 def rolling(h: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of all runs of ``n`` items; run i begins at item i. Runs that cross documents are the caller's to drop."""
+    """Hashes of all runs of ``n`` items; run i begins at item i. Runs that cross documents are the caller's to drop.
+
+    Every place has a multiplier of its own, so no order of two items is worse than any other.
+    """
     size = max(0, len(h) - n + 1)
-    out = h[:size].copy()
-    for j in range(1, n):
-        out *= _Q
-        out += h[j : j + size]
-    return mix(out + U(n))
+    out = np.full(size, U(n))
+    for j in range(n):
+        out += h[j : j + size] * _place(j)
+    return mix(out)
+
+
+def _place(j: int) -> np.uint64:
+    return _PLACES[j] if j < len(_PLACES) else mix(np.array([j], U))[0] | U(1)
+
+
+def run_hashes(h: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Hashes of runs of any lengths: :func:`rolling` for each."""
+    out = length.astype(U)
+    for j in range(int(length.max(initial=0))):
+        at = np.flatnonzero(length > j)
+        out[at] += h[start[at] + j] * _place(j)
+    return mix(out)
+
+
+def release_memory() -> None:
+    """Give memory that a finished task no longer uses back to the system: a worker waits for its next task with little."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library
+        pass
 
 
 def slices(texts: pa.Array, budget: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
