@@ -11,8 +11,12 @@ smaller id; all windows are judged on the input.
    per different segment and not once per copy.
 3. *Passages.* Claims "these words of d start at that word of an earlier document" are joined into passages, whose
    text is read from the earlier document.
-4. *Automata.* For each slab of documents an Aho-Corasick automaton of its passages (``SHARD`` characters at most) is
-   compiled, and the documents are streamed through it. What it locates is what is removed, so no hash decides alone.
+4. *Automata.* Passages are dealt to the slabs of documents that may hold them. For each slab an Aho-Corasick automaton (``SHARD``
+   characters of passages) is compiled, and every document of the slab, with or without a claim, is streamed through it. What an automaton
+   locates in a document after the passage's source is what is removed: places come from it alone, and no hash decides.
+
+Every document through every automaton would cost documents times passages, which no cluster can pay at 100 TB; dealing passages to
+slabs keeps the work in proportion to the text, and a document never misses one of its passages.
 
 Defined cases: null or empty text has no words; a document with fewer than ``WINDOW`` words loses nothing; rows with
 the same id count as one document and each gets its own result; a row without an id loses nothing and is no
@@ -23,12 +27,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import OWN, drop_table, materialise, null_as_empty, release
-from .words import SPACED, U, Words, _power_tables, mix, rolling, slices
+from .common import OWN, drop_table, materialise, null_as_empty, salted_join
+from .runs import whole_runs
+from .words import SPACED, Words, release_memory, rolling, run_hashes, slices
 
 WINDOW = 13
 ANCHOR = 5
@@ -36,8 +42,12 @@ ANCHOR = 5
 SHARD = 1 << 20
 #: Words of a passage in one pattern; longer ones are cut with an overlap of a window less one word.
 PATTERN = 512
-#: Passages that are read from a source at once.
-PER_ROW = 1000
+#: Bytes of documents that are streamed through one automaton.
+SLAB = 4 << 20
+#: Words of a source whose passages are read at once.
+PER_ROW = 4096
+#: Documents of one passage that a task takes before the passage is split.
+PER_SALT = 1000
 _NO = np.empty(0, np.int64)
 
 
@@ -64,11 +74,7 @@ def segments(h: np.ndarray, off: np.ndarray, window: int = WINDOW, anchor: int =
     first = np.flatnonzero(new)
     number = np.diff(np.append(first, total))
     a, b = starts[first], starts[first] + number + window - 1
-    up, down = _power_tables(len(h))
-    sums = np.empty(len(h) + 1, U)
-    sums[0] = 0
-    np.cumsum(h * up[: len(h)], out=sums[1:])
-    whole = mix((sums[b] - sums[a]) * down[a] + (b - a).astype(U))
+    whole = run_hashes(h, a, b - a)
     return best[first].view(np.int64), whole.view(np.int64), doc[first], a - off[doc[first]], number
 
 
@@ -85,6 +91,7 @@ def _emit_segments(with_place: bool, window: int, anchor: int):
                     columns += [pa.array(whole), pa.array(first.astype(np.int32)), pa.array(number.astype(np.int32))]
                     names += ["whole", "first", "number"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+        release_memory()
 
     return run
 
@@ -94,24 +101,21 @@ def _window_rows(window: int):
 
     def run(batches):
         for batch in batches:
-            wanted = batch.column("segments").to_pylist()
-            ids = batch.column("id").to_pylist()
+            ids, lists = np.asarray(batch.column("id")), batch.column("segments")
+            bound, wanted = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]), lists.flatten()
+            key, whole, first, number = (np.asarray(wanted.field(c)) for c in ("anchor", "whole", "first", "number"))
             for i, j, data, off in slices(batch.column("text")):
                 words = Words(data, off, SPACED)
-                g = rolling(words.hashes(), window)
-                out: list[tuple] = []
-                for d in range(j - i):
-                    for s in wanted[i + d]:
-                        at = int(words.off[d]) + s["first"]
-                        out.append((s["anchor"], s["whole"], s["number"], g[at : at + s["number"]].view(np.int64), ids[i + d], s["first"]))
-                if out:
-                    key, whole, number, hashes, doc, first = zip(*out)
-                    number = np.array(number)
-                    place = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat(np.array(key, np.int64), number)), pa.array(np.repeat(np.array(whole, np.int64), number)), pa.array(place.astype(np.int32)), pa.array(np.concatenate(hashes)), pa.array(np.repeat(np.array(doc, np.int64), number)), pa.array((np.repeat(np.array(first, np.int64), number) + place).astype(np.int32))],
-                        names=["anchor", "whole", "place", "window", "id", "first"],
-                    )
+                g = rolling(words.hashes(), window).view(np.int64)
+                own, size = slice(bound[i], bound[j]), number[bound[i] : bound[j]].astype(np.int64)
+                doc = np.repeat(np.arange(j - i), np.diff(bound[i : j + 1]))
+                place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                at = np.repeat(words.off[doc] + first[own], size) + place
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(key[own], size)), pa.array(np.repeat(whole[own], size)), pa.array(place.astype(np.int32)), pa.array(g[at]), pa.array(np.repeat(ids[i:j][doc], size)), pa.array((np.repeat(first[own], size) + place).astype(np.int32))],
+                    names=["anchor", "whole", "place", "window", "id", "first"],
+                )
+        release_memory()
 
     return run
 
@@ -122,14 +126,11 @@ def claims(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> tuple
     ``docs`` has (``id``, ``text``) without null ids. ``src`` is the first document that has the windows. The second result
     is the tables that can be dropped when the first has been read.
     """
-    spark = docs.sparkSession
     seen = docs.mapInArrow(_emit_segments(False, window, anchor), "anchor long, id long")
     again = materialise(seen.groupBy("anchor").agg(F.min("id").alias("src"), F.max("id").alias("last")).filter("src < last").select("anchor", "src"), "anchors")
-    release(spark)
     placed = docs.mapInArrow(_emit_segments(True, window, anchor), "anchor long, id long, whole long, first int, number int")
     found = materialise(placed.join(again, "anchor"), "segments")
     drop_table(again)
-    release(spark)
     variants = found.groupBy("anchor", "whole").agg(F.min(F.struct("id", "first", "number")).alias("at"), F.min("src").alias("src"))
     variants = materialise(variants.select("anchor", "whole", F.col("at.id").alias("from_id"), F.col("at.first").alias("from_first"), F.col("at.number").alias("number"), "src"), "variants")
     # segments that the first document of their anchor doesn't have; its own segments take part in the comparison
@@ -137,7 +138,6 @@ def claims(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> tuple
     apart = variants.join(mixed, "anchor", "left_semi")
     wanted = apart.groupBy(F.col("from_id").alias("id")).agg(F.collect_list(F.struct("anchor", "whole", F.col("from_first").alias("first"), "number")).alias("segments"))
     rows = materialise(docs.join(wanted, "id").mapInArrow(_window_rows(window), "anchor long, whole long, place int, window long, id long, first int"), "windows")
-    release(spark)
     firsts = rows.groupBy("anchor", "window").agg(F.min(F.struct("id", "first")).alias("from"))
     single = rows.join(firsts, ["anchor", "window"]).select("anchor", "whole", "place", F.col("from.id").alias("from_id"), F.col("from.first").alias("from_first"))
     known = variants.filter("from_id = src").select("anchor", "whole", F.lit(0).alias("place"), "number", "from_id", "from_first")
@@ -149,119 +149,124 @@ def claims(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> tuple
 
 
 def _merge(batches):
-    """Claims of a document whose words run on in the same source become passages, cut to patterns."""
-    for batch in batches:
-        out: list[tuple[int, int, int, int]] = []
-        for doc, own in zip(batch.column("id").to_pylist(), batch.column("claims").to_pylist()):
-            runs: list[list[int]] = []
-            for c in sorted((c["src"], c["src_first"] - c["first"], c["first"], c["first"] + c["number"]) for c in own):
-                if runs and runs[-1][:2] == list(c[:2]) and c[2] <= runs[-1][3]:
-                    runs[-1][3] = max(runs[-1][3], c[3])
-                else:
-                    runs.append(list(c))
-            patterns = set()
-            for src, shift, a, b in runs:
-                end = b + WINDOW - 1
-                for x in range(a, max(a + 1, end - WINDOW + 1), PATTERN - WINDOW + 1):
-                    patterns.add((src, x + shift, min(PATTERN, end - x)))
-            out += [(doc, *p) for p in patterns]
-        columns = list(zip(*out)) or [(), (), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int32())], names=["id", "src", "src_first", "words"])
+    """Claims, sorted by document, source, shift and place, whose words run on in the same source become passages, cut to patterns."""
+    step = PATTERN - WINDOW + 1
+    for batch in whole_runs(batches, ("id",)):
+        doc, src, shift, first, number = (np.asarray(batch.column(c)).astype(np.int64) for c in ("id", "src", "shift", "first", "number"))
+        other = np.ones(len(doc), bool)  # another document, source or shift
+        other[1:] = (doc[1:] != doc[:-1]) | (src[1:] != src[:-1]) | (shift[1:] != shift[:-1])
+        group = np.cumsum(other)
+        reached = np.maximum.accumulate((group << 32) + first + number) - (group << 32)
+        new = other.copy()
+        new[1:] |= first[1:] > reached[:-1]
+        at = np.flatnonzero(new)
+        a, end = first[at], reached[np.append(at[1:], len(doc)) - 1] + WINDOW - 1
+        pieces = np.maximum(1, -(-(end - WINDOW + 1 - a) // step))
+        place = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        x = np.repeat(a, pieces) + place * step
+        size = np.minimum(PATTERN, np.repeat(end, pieces) - x)
+        own = at.repeat(pieces)
+        yield pa.RecordBatch.from_arrays([pa.array(doc[own]), pa.array(src[own]), pa.array((x + shift[own]).astype(np.int32)), pa.array(size.astype(np.int32))], names=["id", "src", "src_first", "words"])
+    release_memory()
 
 
 def _read_patterns(batches):
     for batch in batches:
-        wanted = batch.column("patterns").to_pylist()
-        ids = batch.column("id").to_pylist()
-        texts = batch.column("text")
-        src, first, size, text = [], [], [], []
-        for k, patterns in enumerate(wanted):
-            words = texts[k].as_py().encode()
-            words = Words(np.frombuffer(words, np.uint8), np.array([0, len(words)]), SPACED)
-            for p in patterns:
-                src.append(ids[k])
-                first.append(p["src_first"])
-                size.append(p["words"])
-                text.append(words.text(p["src_first"], p["src_first"] + p["words"]).decode())
-        yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(first, pa.int32()), pa.array(size, pa.int32()), pa.array(text, pa.string())], names=["src", "src_first", "words", "pattern"])
-
-
-def _locate(rows: list[tuple[int, bytes, list[str]]]) -> dict[int, list[tuple[int, int]]]:
-    """Word ranges of each row that its patterns cover, by one automaton of all the rows' patterns."""
+        src, lists, texts = np.asarray(batch.column("id")), batch.column("patterns"), batch.column("text")
+        size, wanted = lists.value_lengths().to_numpy(), lists.flatten()
+        first, words = (np.asarray(wanted.field(c)) for c in ("src_first", "words"))
+        out, at = [], 0
+        for k, n in enumerate(size.tolist()):
+            own = texts[k].as_py().encode().split()
+            out += [b" ".join(own[a : a + w]).decode() for a, w in zip(first[at : at + n].tolist(), words[at : at + n].tolist())]
+            at += n
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(src, size)), pa.array(first), pa.array(words), pa.array(out, pa.string())], names=["src", "src_first", "words", "pattern"])
+    release_memory()
+
+
+def compiled(patterns: list[str], sources: list[int]):
+    """An automaton of passages; a hit tells the passage's length and its first source. None without passages."""
     import ahocorasick
 
-    automaton, numbers = ahocorasick.Automaton(), {}
-    for _, _, patterns in rows:
-        for p in patterns:
-            if p not in numbers:
-                numbers[p] = len(numbers)
-                automaton.add_word(f" {p} ", (numbers[p], len(p)))
+    first: dict[str, int] = {}
+    for p, src in zip(patterns, sources):
+        if src < first.get(p, src + 1):
+            first[p] = src
+    if not first:
+        return None
+    automaton = ahocorasick.Automaton()
+    for p, src in first.items():
+        automaton.add_word(f" {p} ", (len(p), src))
     automaton.make_automaton()
-    out = {}
-    for row, raw, patterns in rows:
-        text = " " + b" ".join(raw.split()).decode() + " "
-        own = {numbers[p] for p in patterns}
-        spans = [(end - size, end) for end, (k, size) in automaton.iter(text) if k in own]
-        blanks = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), "<u4") == 32) if spans else None
+    return automaton
+
+
+def located(automaton, doc: int | None, raw: bytes) -> tuple[list[bytes], np.ndarray]:
+    """The words of a document and whether each lies in a passage of the automaton that an earlier document has."""
+    words = raw.split()
+    gone = np.zeros(len(words), bool)
+    if automaton is None or doc is None or len(words) < WINDOW:
+        return words, gone
+    text = " " + b" ".join(words).decode() + " "
+    spans = [(end - size, end) for end, (size, src) in automaton.iter(text) if src < doc]
+    if spans:
+        edge, blanks = np.zeros(len(words) + 1, np.int64), np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), "<u4") == 32)
         # a span runs from the character after a blank to the blank at its end
-        out[row] = [(int(np.searchsorted(blanks, a)) - 1, int(np.searchsorted(blanks, b))) for a, b in spans]
-    return out
+        a, b = np.array(spans).T
+        np.add.at(edge, np.searchsorted(blanks, a) - 1, 1)
+        np.add.at(edge, np.searchsorted(blanks, b), -1)
+        gone = np.cumsum(edge[:-1]) > 0
+    return words, gone
 
 
 def _remove(text: str, schema_names: list[str]):
     """Adds the number of words, the number removed, and the text without them."""
 
-    def flush(held):
-        spans = _locate([r for r in held if r[2]]) if any(r[2] for r in held) else {}
-        for row, raw, _ in held:
-            words = raw.split()
-            gone = np.zeros(len(words) + 1, np.int32)
-            for a, b in spans.get(row, ()):
-                gone[a] += 1
-                gone[b] -= 1
-            gone = np.cumsum(gone[:-1]) > 0
-            yield len(words), int(gone.sum()), b" ".join(w for w, g in zip(words, gone.tolist()) if not g).decode()
-
     def run(batches):
         for batch in batches:
-            texts, patterns = batch.column(text), batch.column(OWN + "patterns").to_pylist()
-            out, held, size = [], [], 0
-            for k in range(batch.num_rows):
-                raw = (texts[k].as_py() or "").encode()
-                own = patterns[k] or []
-                held.append((k, raw, own))
-                size += sum(map(len, own))
-                if size >= SHARD:
-                    out += flush(held)
-                    held, size = [], 0
-            out += flush(held)
-            n, gone, kept = zip(*out) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in schema_names), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=[*schema_names, OWN + "n_words", OWN + "n_removed", OWN + "kept"])
+            texts, lists, ids = batch.column(text), batch.column(OWN + "patterns"), batch.column(OWN + "doc").to_pylist()
+            bound, told = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy())]), lists.flatten()
+            source, pattern = told.field("src"), told.field("pattern")
+            chars = np.concatenate([[0], np.cumsum(pc.binary_length(pattern).to_numpy(zero_copy_only=False))])[bound]
+            size = np.concatenate([[0], np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False))])
+            i = 0
+            while i < batch.num_rows:
+                j = min(int(np.searchsorted(chars, chars[i] + SHARD, "right")), int(np.searchsorted(size, size[i] + SLAB, "right"))) - 1
+                j = max(j, i + 1)
+                own = slice(int(bound[i]), int(bound[j]))
+                automaton = compiled(pattern[own].to_pylist(), source[own].to_pylist())
+                n, gone, kept = [], [], []
+                for k in range(i, j):
+                    words, out = located(automaton, ids[k], (texts[k].as_py() or "").encode())
+                    n.append(len(words))
+                    gone.append(int(out.sum()))
+                    kept.append(b" ".join(w for w, g in zip(words, out.tolist()) if not g).decode() if gone[-1] else b" ".join(words).decode())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in schema_names), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=[*schema_names, OWN + "n_words", OWN + "n_removed", OWN + "kept"])
+                i = j
+        release_memory()
 
     return run
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with their number of words, the number removed, and the remaining words joined by spaces (own names)."""
-    spark = docs.sparkSession
     plain = docs.select(F.col(doc_id).cast("long").alias("id"), null_as_empty(text).alias("text")).filter("id IS NOT NULL")
     claimed, used = claims(plain)
-    own = claimed.groupBy("id").agg(F.collect_list(F.struct("first", "number", "src", "src_first")).alias("claims"))
-    passages = materialise(own.mapInArrow(_merge, "id long, src long, src_first int, words int"), "passages")
+    claimed = claimed.withColumn("shift", F.col("src_first") - F.col("first")).select("id", "src", "shift", "first", "number")
+    ordered = claimed.repartition("id").sortWithinPartitions("id", "src", "shift", "first")
+    passages = materialise(ordered.mapInArrow(_merge, "id long, src long, src_first int, words int"), "passages")
     for t in used:
         drop_table(t)
-    release(spark)
-    # a source that very many documents quote has its passages dealt to rows of about PER_ROW
-    distinct = passages.select("src", "src_first", "words").distinct()
-    many = distinct.groupBy("src").agg(F.ceil(F.count(F.lit(1)) / PER_ROW).alias("salts")).filter("salts > 1")
-    salt = F.pmod(F.xxhash64("src_first", "words"), F.coalesce(F.col("salts"), F.lit(1)))
-    asked = distinct.join(many, "src", "left").groupBy(F.col("src").alias("id"), salt.alias("salt")).agg(F.collect_list(F.struct("src_first", "words")).alias("patterns"))
+    # a source that very many documents quote has its passages dealt to rows by their place
+    near = (F.col("src_first") / PER_ROW).cast("int").alias("near")
+    asked = passages.select("src", "src_first", "words").distinct().groupBy(F.col("src").alias("id"), near).agg(F.collect_list(F.struct("src_first", "words")).alias("patterns"))
     texts = plain.join(asked, "id").mapInArrow(_read_patterns, "src long, src_first int, words int, pattern string")
-    texts = materialise(texts.distinct(), "patterns")
-    release(spark)
-    mine = passages.join(texts, ["src", "src_first", "words"]).groupBy("id").agg(F.collect_set("pattern").alias(OWN + "patterns"))
-    mine = mine.withColumnRenamed("id", OWN + "id")
-    joined = docs.join(mine, F.col(doc_id).cast("long") == F.col(OWN + "id"), "left").select(*docs.columns, OWN + "patterns")
+    texts = materialise(texts.distinct().withColumn("key", F.struct("src", "src_first", "words")).select("key", "pattern"), "patterns")
+    told = salted_join(passages.select("id", F.struct("src", "src_first", "words").alias("key")), texts, "key", rows_per_salt=PER_SALT)
+    mine = materialise(told.groupBy(F.col("id").alias(OWN + "id")).agg(F.collect_set(F.struct("key.src", "pattern")).alias(OWN + "patterns")), "told")
+    drop_table(passages)
+    drop_table(texts)
+    joined = docs.withColumn(OWN + "doc", F.col(doc_id).cast("long")).join(mine, F.col(OWN + "doc") == F.col(OWN + "id"), "left").select(*docs.columns, OWN + "doc", OWN + "patterns")
     added = StructType.fromDDL(f"{OWN}n_words long, {OWN}n_removed long, {OWN}kept string")
     return joined.mapInArrow(_remove(text, docs.columns), StructType([*docs.schema.fields, *added.fields]))
 
