@@ -3,12 +3,16 @@
 Documents are packed into blocks of bounded size, written once. For each order, a block sends its distinct n-grams
 (64-bit hashes with training counts) to ranges of the hash space, one compressed row per (block, range); a range adds up
 the counts of all blocks and answers each block with the totals in the block's own order. So a hot n-gram is one
-entry a block, no table is sent to every task, and what travels and what is stored (the count and weight
-tables, partitioned by range) grows with the corpus.
+entry a block, no table is sent to every task, and what travels and what is stored grows with the corpus: a block sends at most a
+row per n-gram of its own, however many ranges there are.
+
+``fit`` stores the count and weight tables, keyed by hash and partitioned by range, and ``evaluate`` scores any texts with them: blocks
+ask ranges for their n-grams. ``score`` does both for one table and asks for counts and weights while they are added up.
+Hashes aren't linear in the bytes (``words.py``); no words of up to 8 bytes and equal length share one.
 
 Model, for an n-gram h+w whose training count is c, with c(h) the count of its context:
 
-* c > ``cutoff`` (``CUTOFF`` for n-grams of order above 1 if none is given, as Katz proposed; 0 keeps all): p(w|h) = d(c) * c / c(h), with
+* c > ``cutoff`` (for n-grams of order above 1; 0, the default, keeps all): p(w|h) = d(c) * c / c(h), with
   the Good-Turing discount d(c) for c <= ``K`` and 1 above;
 * otherwise p(w|h) = a(h) * p(w|h'), h' being h without its first token. a(h) = (1 - sum of p over kept successors) / (1 - sum of p(.|h') over
   kept successors), so that probabilities add up to 1 exactly; a(h) = 1 if h has no kept successor;
@@ -33,16 +37,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, null_as_empty, parts_for, release
-from .words import SPACED, U, Words, mix, slices
+from .common import drop_table, materialise, null_as_empty, parts_for
+from .words import SPACED, U, Words, mix, release_memory, slices
 
 ORDER = 3
 K = 5
-CUTOFF = 1
+CUTOFF = 0
 BLOCK = 4 << 20
 _START, _END = U(0x1B873593CC9E2D51), U(0xE6546B64A1B2C3D5)
 _Q = U(0xD1342543DE82EF95)
 _MANY = "block long, range int, payload binary"
+_TABLES = "kind string, order int, range int, payload binary"
+#: The block of rows that hold the keyed table of a range.
+_TABLE = -1
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -51,6 +58,11 @@ def _pack(*arrays: np.ndarray) -> bytes:
     return zstandard.compress(b"".join([len(arrays[0]).to_bytes(8, "little"), *planes]), 1)
 
 
+def _pack_keyed(keys: np.ndarray, *arrays: np.ndarray) -> bytes:
+    """With ascending 64-bit keys, of which differences are kept."""
+    return _pack(np.diff(keys, prepend=U(0)), *arrays)
+
+
 def _unpack(raw: bytes, *kinds: str) -> list[np.ndarray]:
     raw = zstandard.decompress(raw)
     n, at, out = int.from_bytes(raw[:8], "little"), 8, []
@@ -61,6 +73,11 @@ def _unpack(raw: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
+def _unpack_keyed(raw: bytes, *kinds: str) -> list[np.ndarray]:
+    steps, *more = _unpack(raw, "<u8", *kinds)
+    return [np.cumsum(steps), *more]
+
+
 def _blocks(batches):
     """Documents to rows (block, ids, offsets, compressed text)."""
     part, number = TaskContext.get().partitionId(), 0
@@ -141,16 +158,13 @@ def _start(size: int) -> np.uint64:
     return h[0]
 
 
-def _cut(keys: np.ndarray, ranges: int) -> np.ndarray:
-    """Bounds of the ranges in sorted keys."""
-    edges = np.array([(r << 64) // ranges for r in range(ranges)], U)
-    return np.append(np.searchsorted(keys, edges), len(keys))
-
-
 def _rows(block: int, ranges: int, keys: np.ndarray, *more: np.ndarray):
-    bounds = _cut(keys, ranges)
-    out = [(r, _pack(keys[a:b], *(m[a:b] for m in more))) for r, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])) if b > a]
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(out), block, np.int64)), pa.array([r for r, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["block", "range", "payload"])
+    """A row for each range that has some of the ascending keys."""
+    of = ((keys >> U(32)) * U(ranges)) >> U(32)
+    first = np.flatnonzero(np.diff(of, prepend=U(ranges)))
+    cuts = zip(first.tolist(), [*first[1:].tolist(), len(keys)])
+    payloads = [_pack_keyed(keys[a:b], *(m[a:b] for m in more)) for a, b in cuts]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(first), block, np.int64)), pa.array(of[first].astype(np.int32)), pa.array(payloads, pa.binary())], names=["block", "range", "payload"])
 
 
 def _count(order: int, ranges: int, fold: int, folds: int):
@@ -159,16 +173,23 @@ def _count(order: int, ranges: int, fold: int, folds: int):
             for row in _one_by_one(batch):
                 keys, _, counts = Block(row["ids"], row["off"], row["text"], fold, folds).distinct(order)
                 yield _rows(row["block"], ranges, keys, counts)
+        release_memory()
 
     return run
 
 
-def _add_up(order: int):
+def _answers(rng: int, blocks: list, payloads: list, table: bytes | None, stats: bytes | None = None) -> pa.Table:
+    """Answers to blocks; the keyed table, and numbers for the driver (no block)."""
+    more = [(_TABLE, table)] * (table is not None) + [(None, stats)] * (stats is not None)
+    blocks, payloads = [*blocks, *(b for b, _ in more)], [*payloads, *(x for _, x in more)]
+    return pa.table({"block": pa.array(blocks, pa.int64()), "range": pa.array([rng] * len(blocks), pa.int32()), "payload": pa.array(payloads, pa.binary())})
+
+
+def _add_up(order: int, keep: bool):
     """All rows of a range: every block gets the totals of its n-grams; a row without block has the counts of counts."""
 
     def run(table: pa.Table) -> pa.Table:
-        block, rng = table.column("block").to_pylist(), table.column("range")[0].as_py()
-        parts = [_unpack(x, "<u8", "<u4") for x in table.column("payload").to_pylist()]
+        parts = [_unpack_keyed(x, "<u4") for x in table.column("payload").to_pylist()]
         keys = np.concatenate([k for k, _ in parts])
         own, back = np.unique(keys, return_inverse=True)
         total = np.bincount(back, np.concatenate([c for _, c in parts]), len(own)).astype(np.int64)
@@ -179,8 +200,9 @@ def _add_up(order: int):
         start = own == _start(order)
         seen = total[~start]
         stats = np.concatenate([np.bincount(np.minimum(seen, K + 2), minlength=K + 3)[: K + 2], [(seen > 0).sum(), seen.sum()]]).astype(np.int64)
-        payloads = [_pack(answer[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
-        return pa.table({"block": pa.array([*block, None], pa.int64()), "range": pa.array([rng] * (len(block) + 1), pa.int32()), "payload": pa.array([*payloads, stats.tobytes()], pa.binary())})
+        known = total > 0
+        held = _pack_keyed(own[known], total[known]) if keep else None
+        return _answers(table.column("range")[0].as_py(), table.column("block").to_pylist(), [_pack(answer[a:b]) for a, b in zip(bounds[:-1], bounds[1:])], held, stats.tobytes())
 
     return run
 
@@ -284,24 +306,28 @@ def _context_sums(order: int, ranges: int, model, fold: int, folds: int):
                 total = answers.get("count", order - 1, "<i8") >> 1
                 open_ = _open(total, model.value.cutoff)
                 mass, low = np.bincount(at[own], kept[own], len(keys)), np.bincount(at[own], lower[own], len(keys))
-                yield _rows(row["block"], ranges, keys[open_], total[open_].astype(np.float64), mass[open_], low[open_])
+                yield _rows(row["block"], ranges, keys[open_], total[open_], mass[open_], low[open_])
+        release_memory()
 
     return run
 
 
-def _weights(table: pa.Table) -> pa.Table:
+def _weights(keep: bool):
     """Backoff weights of a range's contexts; negative if the context's denominator has one count more."""
-    block, rng = table.column("block").to_pylist(), table.column("range")[0].as_py()
-    parts = [_unpack(x, "<u8", "<f8", "<f8", "<f8") for x in table.column("payload").to_pylist()]
-    _, one, back = np.unique(np.concatenate([k for k, *_ in parts]), return_index=True, return_inverse=True)
-    count = np.concatenate([c for _, c, _, _ in parts])[one]
-    mass, low = np.bincount(back, np.concatenate([x for _, _, x, _ in parts])), np.bincount(back, np.concatenate([x for _, _, _, x in parts]))
-    full = mass >= count * (1 - 1e-12)
-    left = np.where(full, 1 - mass / (count + 1), 1 - mass / count)
-    weight = np.where(mass > 0, left / np.maximum(1 - low, 1e-300), 1.0)
-    weight = np.where(full & (mass > 0), -weight, weight)[back]
-    bounds = np.cumsum([0, *(len(k) for k, *_ in parts)])
-    return pa.table({"block": pa.array(block, pa.int64()), "range": pa.array([rng] * len(block), pa.int32()), "payload": pa.array([_pack(weight[a:b]) for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())})
+
+    def run(table: pa.Table) -> pa.Table:
+        parts = [_unpack_keyed(x, "<i8", "<f8", "<f8") for x in table.column("payload").to_pylist()]
+        own, one, back = np.unique(np.concatenate([k for k, *_ in parts]), return_index=True, return_inverse=True)
+        count = np.concatenate([c for _, c, _, _ in parts])[one]
+        mass, low = np.bincount(back, np.concatenate([x for _, _, x, _ in parts])), np.bincount(back, np.concatenate([x for _, _, _, x in parts]))
+        full = mass >= count * (1 - 1e-12)
+        left = np.where(full, 1 - mass / (count + 1), 1 - mass / count)
+        weight = np.where(mass > 0, left / np.maximum(1 - low, 1e-300), 1.0)
+        weight = np.where(full & (mass > 0), -weight, weight)
+        bounds, told = np.cumsum([0, *(len(k) for k, *_ in parts)]), weight[back]
+        return _answers(table.column("range")[0].as_py(), table.column("block").to_pylist(), [_pack(told[a:b]) for a, b in zip(bounds[:-1], bounds[1:])], _pack_keyed(own, weight) if keep else None)
+
+    return run
 
 
 def _scores(order: int, model, fold: int, folds: int):
@@ -316,42 +342,128 @@ def _scores(order: int, model, fold: int, folds: int):
                     [pa.array(row["ids"], pa.int64()), pa.array(block.held), pa.array(block.n_tokens.astype(np.int64)), pa.array(add((count > 0).astype(np.int64))), pa.array(np.full(len(row["ids"]), model.value.tokens, np.int64)), pa.array(add(base)), pa.array(add(np.log10(np.maximum(p, 1e-300))))],
                     names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
+        release_memory()
 
     return run
 
 
+_SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def _blocks_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    blocks = docs.select(F.col(doc_id).cast("long").alias("id"), null_as_empty(text).alias("text")).mapInArrow(_blocks, "block long, ids array<long>, off binary, text binary")
+    return materialise(blocks, "blocks", compression="uncompressed")
+
+
+def _with_answers(blocks: DataFrame, answers: list[DataFrame]) -> DataFrame:
+    """Each block with what it was told; that is bounded by the block's size."""
+    told = answers[0]
+    for more in answers[1:]:
+        told = told.unionByName(more)
+    own = told.groupBy("block").agg(F.collect_list(F.struct("kind", "order", "range", "payload")).alias("answers"))
+    return blocks.join(own, "block")
+
+
+class _Run:
+    """Counting and weighing over blocks: answers to blocks, the model, and all tables written."""
+
+    def __init__(self, docs: DataFrame, doc_id: str, text: str, order: int, fold: int, folds: int, cutoff: int, keep: bool):
+        spark, self.order, self.fold, self.folds = docs.sparkSession, order, fold, folds
+        self.ranges, self.answers, self.tables, self.written, stats = parts_for(docs, 0.5, 16), [], [], [], []
+        self.blocks = _blocks_of(docs, doc_id, text)
+        for m in range(1, order + 1):
+            sent = self.blocks.select("block", "ids", "off", "text").mapInArrow(_count(m, self.ranges, fold, folds), _MANY)
+            added = materialise(sent.groupBy("range").applyInArrow(_add_up(m, keep), _MANY), f"counts{m}", compression="uncompressed")
+            self.told(m, "count", added)
+            numbers = [np.frombuffer(r["payload"], np.int64) for r in added.filter("block IS NULL").select("payload").collect()]  # K + 4 numbers a range
+            stats.append(sum(numbers, np.zeros(K + 4, np.int64)))
+            self.model = Model(m, stats, cutoff)
+            if m > 1:
+                sums = _with_answers(self.blocks, self.answers).mapInArrow(_context_sums(m, self.ranges, spark.sparkContext.broadcast(self.model), fold, folds), _MANY)
+                self.told(m, "weight", materialise(sums.groupBy("range").applyInArrow(_weights(keep), _MANY), f"weights{m}", compression="uncompressed"))
+
+    def told(self, order: int, kind: str, table: DataFrame) -> None:
+        self.written.append(table)
+        own = table.select("block", F.lit(kind).alias("kind"), F.lit(order).alias("order"), "range", "payload")
+        self.answers.append(own.filter(F.col("block") > _TABLE))
+        self.tables.append(own.filter(F.col("block") == _TABLE).drop("block"))
+
+    def scores(self) -> DataFrame:
+        model = self.blocks.sparkSession.sparkContext.broadcast(self.model)
+        return _with_answers(self.blocks, self.answers).mapInArrow(_scores(self.order, model, self.fold, self.folds), _SCORES)
+
+    def drop(self) -> None:
+        for t in (self.blocks, *self.written):
+            drop_table(t)
+
+
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, fold: int = 1, folds: int = 5, cutoff: int = CUTOFF) -> DataFrame:
     """Train on documents whose crc32(id) mod ``folds`` isn't ``fold``; give log10 probabilities of all documents."""
-    spark = docs.sparkSession
-    ranges = parts_for(docs, 0.5, 16)
-    blocks = docs.select(F.col(doc_id).cast("long").alias("id"), null_as_empty(text).alias("text")).mapInArrow(_blocks, "block long, ids array<long>, off binary, text binary")
-    blocks = materialise(blocks, "blocks", compression="uncompressed")
-    answers, stats = None, []
-
-    def told(order: int, kind: str, table: DataFrame) -> None:
-        nonlocal answers
-        own = table.filter("block IS NOT NULL").select("block", F.lit(kind).alias("kind"), F.lit(order).alias("order"), "range", "payload")
-        answers = own if answers is None else answers.unionByName(own)
-
-    def with_answers() -> DataFrame:
-        own = answers.groupBy("block").agg(F.collect_list(F.struct("kind", "order", "range", "payload")).alias("answers"))
-        return blocks.join(own, "block")  # a block's answers are bounded by its size
-
-    def model():
-        return spark.sparkContext.broadcast(Model(len(stats), stats, cutoff))
-
-    for m in range(1, order + 1):
-        sent = blocks.select("block", "ids", "off", "text").mapInArrow(_count(m, ranges, fold, folds), _MANY)
-        added = materialise(sent.groupBy("range").applyInArrow(_add_up(m), _MANY), f"counts{m}", compression="uncompressed")
-        sent = None
-        told(m, "count", added)
-        numbers = [np.frombuffer(r["payload"], np.int64) for r in added.filter("block IS NULL").select("payload").collect()]  # K + 4 numbers a range
-        stats.append(sum(numbers, np.zeros(K + 4, np.int64)))
-        release(spark)
-        if m > 1:
-            sums = with_answers().mapInArrow(_context_sums(m, ranges, model(), fold, folds), _MANY)
-            told(m, "weight", materialise(sums.groupBy("range").applyInArrow(_weights, _MANY), f"weights{m}", compression="uncompressed"))
-            sums = None
-            release(spark)
-    kind = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return with_answers().mapInArrow(_scores(order, model(), fold, folds), kind)
+    run = _Run(docs, doc_id, text, order, fold, folds, cutoff, keep=False)
+    out = materialise(run.scores(), "scores")
+    run.drop()
+    return out
+
+
+def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, fold: int = -1, folds: int = 5, cutoff: int = CUTOFF) -> tuple[Model, DataFrame]:
+    """The model and its tables (``kind`` count or weight, ``order``, ``range``, ``payload``: ascending keys and their values), partitioned by
+    kind, order and range. With the fold -1 all documents are trained on."""
+    run = _Run(docs, doc_id, text, order, fold, folds, cutoff, keep=True)
+    run.model.ranges = run.ranges
+    tables = run.tables[0]
+    for more in run.tables[1:]:
+        tables = tables.unionByName(more)
+    out = materialise(tables.repartition("kind", "order", "range"), "model")
+    run.drop()
+    return run.model, out
+
+
+def _ask(order: int, ranges: int):
+    def run(batches):
+        for batch in batches:
+            for row in _one_by_one(batch):
+                keys, _, _ = Block(row["ids"], row["off"], row["text"], -1, 1).distinct(order)
+                yield _rows(row["block"], ranges, keys)
+
+    return run
+
+
+def _reply(order: int, highest: int, cutoff: int):
+    """Counts of the n-grams that blocks ask for and, if higher orders back off to them, the weights of those that are open contexts."""
+
+    def run(asked: pa.Table, table: pa.Table) -> pa.Table:
+        held = {r["kind"]: r["payload"] for r in table.to_pylist()}
+        keys, total = _unpack_keyed(held["count"], "<i8") if "count" in held else (np.empty(0, U), np.empty(0, np.int64))
+        contexts, weight = _unpack_keyed(held["weight"], "<f8") if "weight" in held else (np.empty(0, U), np.empty(0))
+        out = []
+        for row in asked.to_pylist():
+            (wanted,) = _unpack_keyed(row["payload"])
+            count = _look_up(keys, total, wanted, 0)
+            out.append((row["block"], "count", order, row["range"], _pack(count << 1)))
+            if order < highest:
+                out.append((row["block"], "weight", order + 1, row["range"], _pack(_look_up(contexts, weight, wanted[_open(count, cutoff)], 1.0))))
+        columns = list(zip(*out)) or [()] * 5
+        kinds = pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.binary()
+        return pa.table({c: pa.array(x, k) for c, x, k in zip(("block", "kind", "order", "range", "payload"), columns, kinds)})
+
+    return run
+
+
+def _look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default) -> np.ndarray:
+    if not len(keys):
+        return np.full(len(wanted), default, values.dtype)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], default)
+
+
+def evaluate(docs: DataFrame, model: Model, tables: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Scores of any texts by a fitted model. No document is called held out."""
+    blocks, told = _blocks_of(docs, doc_id, text), []
+    for m in range(1, model.order + 1):
+        asked = blocks.select("block", "ids", "off", "text").mapInArrow(_ask(m, model.ranges), _MANY)
+        own = tables.filter(((F.col("kind") == "count") & (F.col("order") == m)) | ((F.col("kind") == "weight") & (F.col("order") == m + 1))).select("range", "kind", "payload")
+        told.append(asked.groupBy("range").cogroup(own.groupBy("range")).applyInArrow(_reply(m, model.order, model.cutoff), "block long, " + _TABLES))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    out = materialise(_with_answers(blocks, told).mapInArrow(_scores(model.order, shared, -1, 1), _SCORES), "scores")
+    drop_table(blocks)
+    return out
