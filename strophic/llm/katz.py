@@ -193,10 +193,11 @@ def _add_up(order: int, keep: bool):
         keys = np.concatenate([k for k, _ in parts])
         own, back = np.unique(keys, return_inverse=True)
         total = np.bincount(back, np.concatenate([c for _, c in parts]), len(own)).astype(np.int64)
-        # the first block that has an n-gram speaks for it later
+        # the first block that has an n-gram speaks for it later; what one block alone has it weighs itself
         first = np.zeros(len(keys), bool)
         first[np.unique(back, return_index=True)[1]] = True
-        answer, bounds = (total[back] << 1 | first).astype(np.int64), np.cumsum([0, *(len(k) for k, _ in parts)])
+        alone = (np.bincount(back) == 1)[back] & (not keep)
+        answer, bounds = (total[back] << 2 | alone << 1 | first).astype(np.int64), np.cumsum([0, *(len(k) for k, _ in parts)])
         start = own == _start(order)
         seen = total[~start]
         stats = np.concatenate([np.bincount(np.minimum(seen, K + 2), minlength=K + 3)[: K + 2], [(seen > 0).sum(), seen.sum()]]).astype(np.int64)
@@ -254,37 +255,50 @@ class Answers:
         return np.concatenate(found) if found else np.empty(0, what)
 
 
-def _evaluate(block: Block, answers: Answers, model: Model, order: int):
-    """p(token | order - 1 tokens before it) of each token; the parts that the highest order needs for its weights."""
+def _evaluate(block: Block, answers: Answers, model: Model, order: int, weighed: bool = True):
+    """p(token | order - 1 tokens before it) of each token; the parts that the highest order needs for its weights, if it isn't ``weighed`` yet."""
     keys, back, _ = block.distinct(1)
-    total = answers.get("count", 1, "<i8") >> 1
-    count = total[back]
+    told = answers.get("count", 1, "<i8")
+    count = (told >> 2)[back]
     p = model.unigram(count)
-    before = np.append(total, 0)
     state = None
     for m in range(2, order + 1):
-        context, context_keys = block.context(m - 1), keys
-        at = np.append(back, len(context_keys))[:-1]  # the context is the gram before; of first tokens, start marks
-        at = np.concatenate([[0], at[:-1]])
+        context_keys, context_told = keys, told
+        at = np.concatenate([[0], back[:-1]])  # the context is the gram before; of first tokens, start marks
         at[block.first] = np.searchsorted(context_keys, _start(m - 1))
         keys, back, _ = block.distinct(m)
         told = answers.get("count", m, "<i8")
-        total = told >> 1
-        context_count, kept = before[at], model.kept(m, total[back])
-        state = (context, at, back, (told & 1).astype(bool), total, context_count, kept, p)
-        if m < order or ("weight", m) in answers.parts:
+        kept, contexts = model.kept(m, (told >> 2)[back]), context_told >> 2
+        one = np.full(len(keys), -1)
+        one[back[::-1]] = np.arange(len(back))[::-1]  # a token of each n-gram
+        own = np.flatnonzero(one >= 0)
+        own = own[kept[one[own]] > 0]
+        state = (at, one, own, told, context_told, kept, p)
+        if m < order or weighed:
+            open_ = _open(contexts, model.cutoff)
+            alone = open_ & ((context_told >> 1 & 1) == 1)
             weight = np.ones(len(context_keys))
-            more = np.ones(len(context_keys))  # 1, or c/(c+1) where a context keeps a count back
-            open_ = _open(before[:-1], model.cutoff)
-            told_weight = answers.get("weight", m, "<f8")
-            weight[open_] = np.abs(told_weight)
-            c = before[:-1][open_]
-            more[open_] = np.where(told_weight < 0, c / (c + 1.0), 1.0)
-            p = np.where(kept > 0, kept / np.maximum(context_count, 1) * more[at], weight[at] * p)
-        before = np.append(total, 0)
+            weight[open_ & ~alone] = answers.get("weight", m, "<f8")
+            mass, low = _sums(at, one[own], kept, p, len(context_keys))
+            weight[alone] = _weight(contexts[alone], mass[alone], low[alone])
+            more = np.where(weight < 0, contexts / (contexts + 1.0), 1.0)  # a context that keeps a count back
+            p = np.where(kept > 0, kept / np.maximum(contexts[at], 1) * more[at], np.abs(weight)[at] * p)
     return p, count, state
 
 
+def _sums(at: np.ndarray, tokens: np.ndarray, kept: np.ndarray, lower: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each context: the discounted counts of its successors at ``tokens``, and their lower-order probabilities."""
+    return np.bincount(at[tokens], kept[tokens], n), np.bincount(at[tokens], lower[tokens], n)
+
+
+def _weight(count: np.ndarray, mass: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Backoff weights of contexts; negative if the context's denominator has one count more."""
+    full = (mass >= count * (1 - 1e-12)) & (mass > 0)
+    left = np.where(full, 1 - mass / (count + 1), 1 - mass / np.maximum(count, 1))
+    weight = np.where(mass > 0, left / np.maximum(1 - low, 1e-300), 1.0)
+    return np.where(full, -weight, weight)
+
+
 def _open(count: np.ndarray, cutoff: int) -> np.ndarray:
     """Contexts that can have a kept successor."""
     return count > cutoff
@@ -297,33 +311,27 @@ def _context_sums(order: int, ranges: int, model, fold: int, folds: int):
         for batch in batches:
             for row in _one_by_one(batch):
                 block, answers = Block(row["ids"], row["off"], row["text"], fold, folds), Answers(row["answers"])
-                _, _, (context, at, back, first, _, context_count, kept, lower) = _evaluate(block, answers, model.value, order)
-                _, one = np.unique(back, return_index=True)  # a token of each n-gram
-                speaks = np.zeros(len(first), bool)
-                speaks[back[one]] = first[back[one]]
-                own = one[speaks[back[one]] & (kept[one] > 0)]
+                _, _, (at, one, own, told, context_told, kept, lower) = _evaluate(block, answers, model.value, order, weighed=False)
+                own = own[(told[own] & 1) == 1]
                 keys, _, _ = block.distinct(order - 1)
-                total = answers.get("count", order - 1, "<i8") >> 1
-                open_ = _open(total, model.value.cutoff)
-                mass, low = np.bincount(at[own], kept[own], len(keys)), np.bincount(at[own], lower[own], len(keys))
-                yield _rows(row["block"], ranges, keys[open_], total[open_], mass[open_], low[open_])
+                total = context_told >> 2
+                mass, low = _sums(at, one[own], kept, lower, len(keys))
+                ask = _open(total, model.value.cutoff) & ((context_told >> 1 & 1) == 0)
+                yield _rows(row["block"], ranges, keys[ask], total[ask], mass[ask], low[ask])
         release_memory()
 
     return run
 
 
 def _weights(keep: bool):
-    """Backoff weights of a range's contexts; negative if the context's denominator has one count more."""
+    """The weights of a range's contexts."""
 
     def run(table: pa.Table) -> pa.Table:
         parts = [_unpack_keyed(x, "<i8", "<f8", "<f8") for x in table.column("payload").to_pylist()]
         own, one, back = np.unique(np.concatenate([k for k, *_ in parts]), return_index=True, return_inverse=True)
         count = np.concatenate([c for _, c, _, _ in parts])[one]
         mass, low = np.bincount(back, np.concatenate([x for _, _, x, _ in parts])), np.bincount(back, np.concatenate([x for _, _, _, x in parts]))
-        full = mass >= count * (1 - 1e-12)
-        left = np.where(full, 1 - mass / (count + 1), 1 - mass / count)
-        weight = np.where(mass > 0, left / np.maximum(1 - low, 1e-300), 1.0)
-        weight = np.where(full & (mass > 0), -weight, weight)
+        weight = _weight(count, mass, low)
         bounds, told = np.cumsum([0, *(len(k) for k, *_ in parts)]), weight[back]
         return _answers(table.column("range")[0].as_py(), table.column("block").to_pylist(), [_pack(told[a:b]) for a, b in zip(bounds[:-1], bounds[1:])], _pack_keyed(own, weight) if keep else None)
 
@@ -439,7 +447,7 @@ def _reply(order: int, highest: int, cutoff: int):
         for row in asked.to_pylist():
             (wanted,) = _unpack_keyed(row["payload"])
             count = _look_up(keys, total, wanted, 0)
-            out.append((row["block"], "count", order, row["range"], _pack(count << 1)))
+            out.append((row["block"], "count", order, row["range"], _pack(count << 2)))
             if order < highest:
                 out.append((row["block"], "weight", order + 1, row["range"], _pack(_look_up(contexts, weight, wanted[_open(count, cutoff)], 1.0))))
         columns = list(zip(*out)) or [()] * 5
