@@ -44,6 +44,8 @@ ORDER = 3
 K = 5
 CUTOFF = 0
 BLOCK = 4 << 20
+#: Sums over successors of contexts of two tokens or more travel in so many goes, each with its share of the ranges.
+GOES = 2
 _START, _END = U(0x1B873593CC9E2D51), U(0xE6546B64A1B2C3D5)
 _Q = U(0xD1342543DE82EF95)
 _MANY = "block long, range int, payload binary"
@@ -158,9 +160,13 @@ def _start(size: int) -> np.uint64:
     return h[0]
 
 
+def _range(keys: np.ndarray, ranges: int) -> np.ndarray:
+    return ((keys >> U(32)) * U(ranges)) >> U(32)
+
+
 def _rows(block: int, ranges: int, keys: np.ndarray, *more: np.ndarray):
     """A row for each range that has some of the ascending keys."""
-    of = ((keys >> U(32)) * U(ranges)) >> U(32)
+    of = _range(keys, ranges)
     first = np.flatnonzero(np.diff(of, prepend=U(ranges)))
     cuts = zip(first.tolist(), [*first[1:].tolist(), len(keys)])
     payloads = [_pack_keyed(keys[a:b], *(m[a:b] for m in more)) for a, b in cuts]
@@ -304,7 +310,7 @@ def _open(count: np.ndarray, cutoff: int) -> np.ndarray:
     return count > cutoff
 
 
-def _context_sums(order: int, ranges: int, model, fold: int, folds: int):
+def _context_sums(order: int, ranges: int, model, fold: int, folds: int, go: int, goes: int):
     """A block's part of the sums over kept successors of each context; its contexts, to be told the weights."""
 
     def run(batches):
@@ -317,6 +323,7 @@ def _context_sums(order: int, ranges: int, model, fold: int, folds: int):
                 total = context_told >> 2
                 mass, low = _sums(at, one[own], kept, lower, len(keys))
                 ask = _open(total, model.value.cutoff) & ((context_told >> 1 & 1) == 0)
+                ask &= _range(keys, ranges) % U(goes) == U(go)
                 yield _rows(row["block"], ranges, keys[ask], total[ask], mass[ask], low[ask])
         release_memory()
 
@@ -386,8 +393,10 @@ class _Run:
             numbers = [np.frombuffer(r["payload"], np.int64) for r in added.filter("block IS NULL").select("payload").collect()]  # K + 4 numbers a range
             stats.append(sum(numbers, np.zeros(K + 4, np.int64)))
             self.model = Model(m, stats, cutoff)
-            if m > 1:
-                sums = _with_answers(self.blocks, self.answers).mapInArrow(_context_sums(m, self.ranges, spark.sparkContext.broadcast(self.model), fold, folds), _MANY)
+            goes = min(m - 1, GOES)
+            known, model = list(self.answers), spark.sparkContext.broadcast(self.model)
+            for go in range(goes):
+                sums = _with_answers(self.blocks, known).mapInArrow(_context_sums(m, self.ranges, model, fold, folds, go, goes), _MANY)
                 self.told(m, "weight", materialise(sums.groupBy("range").applyInArrow(_weights(keep), _MANY), f"weights{m}", compression="uncompressed"))
 
     def told(self, order: int, kind: str, table: DataFrame) -> None:
