@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, materialise, null_as_empty, parts_for
+from .common import bucketed, buckets_of, drop_table, materialise, null_as_empty, parts_for
 from .words import SPACED, U, Words, mix, release_memory, slices
 
 ORDER = 3
@@ -80,14 +80,25 @@ def _unpack_keyed(raw: bytes, *kinds: str) -> list[np.ndarray]:
     return [np.cumsum(steps), *more]
 
 
+_BLOCKS = "block long, ids array<long>, sizes binary, words binary, places binary"
+
+
 def _blocks(batches):
-    """Documents to rows (block, ids, offsets, compressed text)."""
+    """Documents to rows (block, ids, numbers of tokens, distinct tokens' hashes, each token's place among them)."""
     part, number = TaskContext.get().partitionId(), 0
     ids, texts, size = [], [], 0
 
     def row():
         off = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array([(part << 32) | number]), pa.array([list(ids)], pa.list_(pa.int64())), pa.array([off.tobytes()], pa.binary()), pa.array([zstandard.compress(b"".join(texts), 6)], pa.binary())], names=["block", "ids", "off", "text"])
+        words = Words(np.frombuffer(b"".join(texts), np.uint8), off, SPACED, lower=True)
+        counts = np.diff(words.off)
+        sizes = (counts + 1).astype(np.int32)
+        tokens = np.full(int(sizes.sum()) + 1, _END, U)
+        tokens[np.arange(len(words)) + np.repeat(np.arange(len(ids)), counts)] = words.hashes()
+        tokens[-1] = _START  # a context, not a token
+        keys, places = np.unique(tokens, return_inverse=True)
+        packed = sizes.tobytes(), _pack_keyed(keys), _pack(places.astype(np.int32))
+        return pa.RecordBatch.from_arrays([pa.array([(part << 32) | number]), pa.array([list(ids)], pa.list_(pa.int64())), *(pa.array([x], pa.binary()) for x in packed)], names=["block", "ids", "sizes", "words", "places"])
 
     for batch in batches:
         for i, j, data, off in slices(batch.column("text")):
@@ -101,6 +112,7 @@ def _blocks(batches):
                     ids, texts, size, number = [], [], 0, number + 1
     if ids:
         yield row()
+    release_memory()
 
 
 def _one_by_one(batch):
@@ -111,19 +123,14 @@ def _one_by_one(batch):
 class Block:
     """Tokens of a block, and for each order the distinct n-grams with their place for each token."""
 
-    def __init__(self, ids: list[int | None], off: bytes, text: bytes, fold: int, folds: int):
-        off = np.frombuffer(off, np.int64)
-        words = Words(np.frombuffer(zstandard.decompress(text), np.uint8), off, SPACED, lower=True)
-        n, counts = len(ids), np.diff(words.off)
-        self.ids, self.n_tokens = ids, counts + 1
+    def __init__(self, row: dict, fold: int, folds: int):
+        self.ids, self.n_tokens = row["ids"], np.frombuffer(row["sizes"], np.int32).astype(np.int64)
+        (keys,), (back,) = _unpack_keyed(row["words"]), _unpack(row["places"], "<i4")
         self.first = np.cumsum(self.n_tokens) - self.n_tokens
-        self.held = np.array([zlib.crc32(b"" if x is None else str(x).encode()) % folds == fold for x in ids], bool)
-        self.tokens = np.full(int(self.n_tokens.sum()), _END, U)
-        self.tokens[np.arange(len(words)) + np.repeat(np.arange(n), counts)] = words.hashes()
-        self.train = np.repeat(~self.held, self.n_tokens)
-        self.place = np.arange(len(self.tokens)) - np.repeat(self.first, self.n_tokens)
+        self.held = np.array([zlib.crc32(b"" if x is None else str(x).encode()) % folds == fold for x in self.ids], bool)
+        self.tokens, self.train = keys[back[:-1]], np.repeat(~self.held, self.n_tokens)
         self._grams: list[np.ndarray] = [self.tokens]
-        self._distinct: dict[int, tuple] = {}
+        self._distinct: dict[int, tuple] = {1: self._counted(keys, back)}
 
     def grams(self, order: int) -> np.ndarray:
         """The hash of the ``order`` tokens that end at each token; start marks fill up."""
@@ -144,13 +151,14 @@ class Block:
         """Distinct n-grams, contexts of first tokens (start marks alone) included; the place of each token's; training counts."""
         if order in self._distinct:
             return self._distinct[order]
-        all_of = np.append(self.grams(order), _start(order))
-        keys, back = np.unique(all_of, return_inverse=True)
-        back = back.astype(np.int32)
+        keys, back = np.unique(np.append(self.grams(order), _start(order)), return_inverse=True)
+        self._distinct[order] = self._counted(keys, back.astype(np.int32))
+        return self._distinct[order]
+
+    def _counted(self, keys: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         counts = np.bincount(back[:-1], self.train, len(keys)).astype(np.uint32)
         counts[back[-1]] = (~self.held).sum()  # start marks alone are a context once a document
-        self._distinct[order] = keys, back[:-1], counts
-        return self._distinct[order]
+        return keys, back[:-1], counts
 
 
 def _start(size: int) -> np.uint64:
@@ -177,7 +185,7 @@ def _count(order: int, ranges: int, fold: int, folds: int):
     def run(batches):
         for batch in batches:
             for row in _one_by_one(batch):
-                keys, _, counts = Block(row["ids"], row["off"], row["text"], fold, folds).distinct(order)
+                keys, _, counts = Block(row, fold, folds).distinct(order)
                 yield _rows(row["block"], ranges, keys, counts)
         release_memory()
 
@@ -316,7 +324,7 @@ def _context_sums(order: int, ranges: int, model, fold: int, folds: int, go: int
     def run(batches):
         for batch in batches:
             for row in _one_by_one(batch):
-                block, answers = Block(row["ids"], row["off"], row["text"], fold, folds), Answers(row["answers"])
+                block, answers = Block(row, fold, folds), Answers(row["answers"])
                 _, _, (at, one, own, told, context_told, kept, lower) = _evaluate(block, answers, model.value, order, weighed=False)
                 own = own[(told[own] & 1) == 1]
                 keys, _, _ = block.distinct(order - 1)
@@ -349,7 +357,7 @@ def _scores(order: int, model, fold: int, folds: int):
     def run(batches):
         for batch in batches:
             for row in _one_by_one(batch):
-                block = Block(row["ids"], row["off"], row["text"], fold, folds)
+                block = Block(row, fold, folds)
                 p, count, _ = _evaluate(block, Answers(row["answers"]), model.value, order)
                 base = np.log10((count + 0.5) / (model.value.tokens + 0.5 * (model.value.seen + 1)))
                 add = lambda x: np.add.reduceat(x, block.first)
@@ -366,8 +374,9 @@ _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tok
 
 
 def _blocks_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    blocks = docs.select(F.col(doc_id).cast("long").alias("id"), null_as_empty(text).alias("text")).mapInArrow(_blocks, "block long, ids array<long>, off binary, text binary")
-    return materialise(blocks, "blocks", compression="uncompressed")
+    """The blocks, in a table bucketed by block: what blocks are told travels to them, they don't travel."""
+    blocks = docs.select(F.col(doc_id).cast("long").alias("id"), null_as_empty(text).alias("text")).mapInArrow(_blocks, _BLOCKS)
+    return bucketed(blocks, "blocks", "block", parts_for(docs, 0.5, 16), compression="uncompressed")
 
 
 def _with_answers(blocks: DataFrame, answers: list[DataFrame]) -> DataFrame:
@@ -375,7 +384,7 @@ def _with_answers(blocks: DataFrame, answers: list[DataFrame]) -> DataFrame:
     told = answers[0]
     for more in answers[1:]:
         told = told.unionByName(more)
-    own = told.groupBy("block").agg(F.collect_list(F.struct("kind", "order", "range", "payload")).alias("answers"))
+    own = told.repartition(buckets_of(blocks), "block").groupBy("block").agg(F.collect_list(F.struct("kind", "order", "range", "payload")).alias("answers"))
     return blocks.join(own, "block")
 
 
@@ -387,7 +396,7 @@ class _Run:
         self.ranges, self.answers, self.tables, self.written, stats = parts_for(docs, 0.5, 16), [], [], [], []
         self.blocks = _blocks_of(docs, doc_id, text)
         for m in range(1, order + 1):
-            sent = self.blocks.select("block", "ids", "off", "text").mapInArrow(_count(m, self.ranges, fold, folds), _MANY)
+            sent = self.blocks.mapInArrow(_count(m, self.ranges, fold, folds), _MANY)
             added = materialise(sent.groupBy("range").applyInArrow(_add_up(m, keep), _MANY), f"counts{m}", compression="uncompressed")
             self.told(m, "count", added)
             numbers = [np.frombuffer(r["payload"], np.int64) for r in added.filter("block IS NULL").select("payload").collect()]  # K + 4 numbers a range
@@ -439,7 +448,7 @@ def _ask(order: int, ranges: int):
     def run(batches):
         for batch in batches:
             for row in _one_by_one(batch):
-                keys, _, _ = Block(row["ids"], row["off"], row["text"], -1, 1).distinct(order)
+                keys, _, _ = Block(row, -1, 1).distinct(order)
                 yield _rows(row["block"], ranges, keys)
 
     return run
@@ -477,7 +486,7 @@ def evaluate(docs: DataFrame, model: Model, tables: DataFrame, doc_id: str = "do
     """Scores of any texts by a fitted model. No document is called held out."""
     blocks, told = _blocks_of(docs, doc_id, text), []
     for m in range(1, model.order + 1):
-        asked = blocks.select("block", "ids", "off", "text").mapInArrow(_ask(m, model.ranges), _MANY)
+        asked = blocks.mapInArrow(_ask(m, model.ranges), _MANY)
         own = tables.filter(((F.col("kind") == "count") & (F.col("order") == m)) | ((F.col("kind") == "weight") & (F.col("order") == m + 1))).select("range", "kind", "payload")
         told.append(asked.groupBy("range").cogroup(own.groupBy("range")).applyInArrow(_reply(m, model.order, model.cutoff), "block long, " + _TABLES))
     shared = docs.sparkSession.sparkContext.broadcast(model)
