@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 #: Prefix of internal columns, so that they never clash with a caller's columns.
 OWN = "__strophic_"
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Session settings of writes: shuffle files go when the write ends, and Arrow batches are small.
+_WRITES = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,23 +43,25 @@ def new_path(spark: SparkSession, name: str) -> str:
 def materialise(df: DataFrame, name: str, **options) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again: cuts lineage, survives lost executors.
 
-    Shuffle files of the write go when it ends (a session setting that Spark offers for this, put back afterwards).
+    Shuffle files of the write go when it ends, and Arrow batches are bounded by bytes (session settings, put back afterwards).
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    with _cleaned(spark):
+    with _writing(spark):
         df.write.options(**({"compression": "zstd"} | options)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
-def _cleaned(spark: SparkSession):
-    before = spark.conf.get(_CLEAN, None)
-    spark.conf.set(_CLEAN, "true")
+def _writing(spark: SparkSession):
+    before = {k: spark.conf.get(k, None) for k in _WRITES}
     try:
+        for k, v in _WRITES.items():
+            spark.conf.set(k, v)
         yield
     finally:
-        spark.conf.set(_CLEAN, before) if before is not None else spark.conf.unset(_CLEAN)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
 def bucketed(df: DataFrame, name: str, key: str, buckets: int, **options) -> DataFrame:
@@ -66,7 +69,7 @@ def bucketed(df: DataFrame, name: str, key: str, buckets: int, **options) -> Dat
     spark = df.sparkSession
     path = new_path(spark, name)
     table = path.rpartition("/")[2].replace("-", "_")
-    with _cleaned(spark):
+    with _writing(spark):
         df.repartition(buckets, key).write.bucketBy(buckets, key).options(**({"compression": "zstd", "path": path} | options)).format("parquet").saveAsTable(table)
     out = spark.table(table)
     out._strophic_buckets = buckets
