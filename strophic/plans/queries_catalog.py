@@ -212,14 +212,17 @@ def as_of_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.as_of(events, states, "k", "ts", ["state"]).select("event_id", "state")
 
 
-_HARM_SQL = f"""{NOTES_SQL}, ev AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY sid, o, p, d ORDER BY pos DESC) AS n FROM notes WHERE NOT cue AND d > 0 AND o < 40) WHERE n = 1),
+_HARM_SQL = f"""{NOTES_SQL}, ev AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY sid, o, p, d ORDER BY pos DESC) AS n FROM notes WHERE NOT cue AND d > 0) WHERE n = 1),
 pt AS (SELECT DISTINCT src, x AS at_ FROM (SELECT src, unnest([o, o + d]) AS x FROM ev)), sg AS (SELECT src, at_ AS "begin", lead(at_) OVER (PARTITION BY src ORDER BY at_) AS "end" FROM pt),
 sn AS (SELECT sg.src, "begin", "end", list_sort(list_distinct(list(p % 12))) AS pcs, min(p) AS low FROM sg JOIN ev ON ev.src = sg.src AND o <= ("begin" + "end") / 2 AND ("begin" + "end") / 2 < o + d WHERE "end" IS NOT NULL GROUP BY ALL),
-tp AS (SELECT r AS root, q AS quality, k, list_transform(t, lambda x: (x + r) % 12) AS tones FROM range(0, 12) a(r), (VALUES (0, 'major', [0, 4, 7]), (1, 'minor', [0, 3, 7]), (2, 'diminished', [0, 3, 6]), (3, 'dominant7', [0, 4, 7, 10])) b(k, q, t)),
-ft AS (SELECT src, "begin", "end", pcs, root, quality, k, len(list_intersect(pcs, tones)) AS h, round(0.52 * len(list_intersect(pcs, tones)) / len(pcs) + 0.36 * len(list_intersect(pcs, tones)) / len(tones) + CASE WHEN low % 12 = root THEN 0.12 ELSE 0 END - 0.08 * (len(pcs) - len(list_intersect(pcs, tones))), 6) AS fit FROM sn, tp),
-ch AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src, "begin" ORDER BY fit DESC, k, root) AS n FROM ft) WHERE n = 1),
+tp AS (SELECT r AS root, q AS quality, k, list_transform(t, lambda x: (x + r) % 12) AS tones, list_transform(u, lambda x: (x + r) % 12) AS other, third FROM range(0, 12) a(r), (VALUES (0, 'major', [0, 4, 7], [0, 3, 7], 4), (1, 'minor', [0, 3, 7], [0, 4, 7], 3), (2, 'diminished', [0, 3, 6], [0, 3, 6], 3), (3, 'dominant7', [0, 4, 7, 10], [0, 4, 7, 10], 4)) b(k, q, t, u, third)),
+hits AS (SELECT *, len(list_intersect(pcs, tones)) AS h, len(list_intersect(pcs, other)) AS h2, CASE WHEN low % 12 = root THEN 0.12e0 ELSE 0e0 END AS bass, CASE WHEN quality = 'dominant7' AND (len(pcs) < 3 OR NOT list_contains(pcs, (root + 4) % 12)) THEN 0.18e0 ELSE 0e0 END AS seventh FROM sn, tp WHERE len(pcs) >= 2),
+ft AS (SELECT *, round(greatest(0e0, least(1e0, 0.52e0 * h / len(pcs) + 0.36e0 * h / len(tones) + bass - 0.08e0 * least(2, len(pcs) - h) - CASE WHEN h < 2 THEN 0.3e0 ELSE 0e0 END - seventh)), 6) AS fit1,
+ round(greatest(0e0, least(1e0, 0.52e0 * h2 / len(pcs) + 0.36e0 * h2 / len(other) + bass - 0.08e0 * least(2, len(pcs) - h2) - CASE WHEN h2 < 2 THEN 0.3e0 ELSE 0e0 END - seventh)), 6) AS fit2 FROM hits),
+b1 AS (SELECT *, quality IN ('major', 'minor') AND abs(fit2 - fit1) < 1e-6 AND NOT list_contains(pcs, (root + third) % 12) AS vague FROM (SELECT *, row_number() OVER (PARTITION BY src, "begin" ORDER BY fit1 DESC, len(tones) - h, root, k) AS n FROM ft) WHERE n = 1),
+ch AS (SELECT src, "begin", "end", root, CASE WHEN vague THEN 'third-ambiguous' ELSE quality END AS quality, CASE WHEN vague THEN round(greatest(0e0, fit1 - 0.08e0), 6) ELSE fit1 END AS fit FROM b1),
 mg AS (SELECT *, CASE WHEN root = lag(root) OVER w AND quality = lag(quality) OVER w AND "begin" = lag("end") OVER w THEN 0 ELSE 1 END AS nw FROM ch WINDOW w AS (PARTITION BY src ORDER BY "begin")),
-ml AS (SELECT *, sum(nw) OVER (PARTITION BY src ORDER BY "begin") AS isl FROM mg), mc AS (SELECT src, min("begin") AS "begin", max("end") AS "end", any_value(root) AS root, any_value(quality) AS quality, count(*) AS atoms FROM ml GROUP BY src, isl)"""
+ml AS (SELECT *, sum(nw) OVER (PARTITION BY src ORDER BY "begin") AS isl FROM mg), mc AS (SELECT * FROM (SELECT src, min("begin") AS "begin", max("end") AS "end", any_value(root) AS root, any_value(quality) AS quality, count(*) AS atoms, list_reduce(list(fit ORDER BY "begin"), lambda s, x: round((s + x) / 2, 6)) AS mean FROM ml GROUP BY src, isl) WHERE mean >= 0.38)"""
 
 
 def _chords(spark: SparkSession, sf_dir: str) -> DataFrame:

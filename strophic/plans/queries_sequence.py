@@ -97,8 +97,8 @@ def structural_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seq.structural_streams(_notes(spark, sf_dir).withColumn("cue", F.col("kind") != "view"))
 
 
-@query(f"""WITH {NOTES_SQL}, s AS (SELECT *, CASE WHEN pos % 7 = 3 THEN 0 ELSE d END AS d0 FROM notes WHERE pos < 5 OR sid % 3 > 0), k AS (SELECT *, count(*) OVER (PARTITION BY sid) AS size FROM s WHERE d0 > 0)
-SELECT sid, row_number() OVER (PARTITION BY sid ORDER BY pos) - 1 AS pos, p, d0 AS d FROM k WHERE size >= 5""")
+@query(f"""WITH {NOTES_SQL}, k AS (SELECT *, count(*) OVER (PARTITION BY sid) AS size FROM notes WHERE d > 0)
+SELECT sid, row_number() OVER (PARTITION BY sid ORDER BY pos) - 1 AS pos, p, d FROM k WHERE size >= 5""")
 def finalize_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P15 over all notes of all streams."""
     return seq.finalize(_notes(spark, sf_dir), 5).select("sid", "pos", "p", "d")
@@ -187,7 +187,7 @@ def posting_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.groupBy("token", "qpos").agg(F.count(F.lit(1)).alias("read"), F.max("seq").alias("last"))
 
 
-@query("""WITH t AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '')) AS w FROM documents), b AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '')) AS q FROM benchmark WHERE item_id < 5)
+@query("""WITH t AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '')) AS w FROM documents), b AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '')) AS q FROM benchmark)
 SELECT doc_id, item_id, round(len(list_filter(q, lambda x: list_contains(w, x))) / len(q), 6) AS share FROM t, b WHERE len(list_filter(q, lambda x: list_contains(w, x))) / len(q) >= 0.5""")
 def token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All benchmark items as queries against all documents."""
@@ -339,7 +339,7 @@ def span_relocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.relocate(n, _query_pitches(n)[0][:6]).withColumn("cost", F.col("cost").cast("long"))
 
 
-@query(f"""WITH {NOTES_SQL}, fq AS (SELECT list(p ORDER BY pos) AS q FROM notes WHERE sid = 7 AND pos BETWEEN 10 AND 14), w AS (SELECT sid, pos AS start, list(p) OVER v AS c FROM notes WHERE sid < 20 WINDOW v AS (PARTITION BY sid ORDER BY pos ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)),
+@query(f"""WITH {NOTES_SQL}, fq AS (SELECT list(p ORDER BY pos) AS q FROM notes WHERE sid = 7 AND pos BETWEEN 10 AND 14), w AS (SELECT sid, pos AS start, list(p) OVER v AS c FROM notes WINDOW v AS (PARTITION BY sid ORDER BY pos ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)),
 x AS (SELECT sid, start, q, c FROM w, fq WHERE len(c) = 8),
 s AS (SELECT sid, start, list_transform(range(1, 6), lambda i: list_transform(range(1, 9), lambda j: CASE WHEN i = 1 THEN 0.0 ELSE 0.7 * least(1.0, abs((q[i] - q[i - 1]) - (CASE WHEN j > 1 THEN c[j] - c[j - 1] ELSE 99 END)) / 7.0)
   + CASE WHEN sign(q[i] - q[i - 1]) = sign(CASE WHEN j > 1 THEN c[j] - c[j - 1] ELSE 99 END) THEN 0.0 ELSE 0.3 END END)) AS sub FROM x),
@@ -402,7 +402,7 @@ def query_discrimination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annotation.discrimination(_notes(spark, sf_dir)).select("sid", "n", F.round("specificity", 6).alias("specificity"), "low_information")
 
 
-@query(f"""WITH {NOTES_SQL}, k AS (SELECT unnest(range(6, 9)) AS length), w AS (SELECT sid, pos AS start, length, list(p ORDER BY q) AS p, sum(dd) AS span FROM (SELECT a.sid, a.pos, length, b.p, b.pos AS q, b.d AS dd FROM notes a, k JOIN notes b ON b.sid = a.sid AND b.pos BETWEEN a.pos AND a.pos + length - 1) GROUP BY ALL HAVING count(*) = length),
+@query(f"""WITH {NOTES_SQL}, k AS (SELECT unnest(range(6, 13)) AS length), w AS (SELECT sid, pos AS start, length, list(p ORDER BY q) AS p, sum(dd) AS span FROM (SELECT a.sid, a.pos, length, b.p, b.pos AS q, b.d AS dd FROM notes a, k JOIN notes b ON b.sid = a.sid AND b.pos BETWEEN a.pos AND a.pos + length - 1) GROUP BY ALL HAVING count(*) = length),
 x AS (SELECT sid, start, length, list_transform(range(1, length), lambda i: p[i + 1] - p[i]) AS iv, span, len(list_distinct(p)) AS dis, list_max(list_transform(list_distinct(p), lambda v: len(list_filter(p, lambda y: y = v)))) / length AS dom FROM w),
 y AS (SELECT *, array_to_string(iv, ',') AS key, len(list_filter(iv, lambda v: v = 0)) / (length - 1) AS same FROM x),
 g AS (SELECT sid, key, length, count(*) AS count, sum(span) AS total, min(start) AS first, arg_max(dis, start) AS dis, arg_max(dom, start) AS dom, arg_max(same, start) AS same FROM y GROUP BY sid, key, length),
@@ -460,7 +460,7 @@ def phrase_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase.spans(phrase.local_boundaries(n), n)
 
 
-_SIG_SQL = f"""{NOTES_SQL}, k AS (SELECT unnest([4, 5]) AS length), w AS (SELECT sid, pos AS start, length, list(p ORDER BY q) AS p, list(dd ORDER BY q) AS d, list(oo ORDER BY q) AS o FROM (SELECT a.sid, a.pos, length, b.p, b.pos AS q, b.d AS dd, b.o AS oo FROM notes a, k JOIN notes b ON b.sid = a.sid AND b.pos BETWEEN a.pos AND a.pos + length - 1) GROUP BY ALL HAVING count(*) = length),
+_SIG_SQL = f"""{NOTES_SQL}, k AS (SELECT unnest(range(4, 9)) AS length), w AS (SELECT sid, pos AS start, length, list(p ORDER BY q) AS p, list(dd ORDER BY q) AS d, list(oo ORDER BY q) AS o FROM (SELECT a.sid, a.pos, length, b.p, b.pos AS q, b.d AS dd, b.o AS oo FROM notes a, k JOIN notes b ON b.sid = a.sid AND b.pos BETWEEN a.pos AND a.pos + length - 1) GROUP BY ALL HAVING count(*) = length),
 x AS (SELECT *, list_transform(range(1, length), lambda i: p[i + 1] - p[i]) AS iv, list_transform(range(1, length), lambda i: o[i + 1] - o[i]) AS tv FROM w),
 sig AS (SELECT sid, start, length, length || '|' || array_to_string(iv, ',') || '|' || array_to_string(list_transform(d, lambda v: floor(v / d[1] * 64 + 0.5)::BIGINT), ',') || '|' || array_to_string(list_transform(tv, lambda v: floor(v / d[1] * 64 + 0.5)::BIGINT), ',') AS key
  FROM x WHERE len(list_distinct(iv)) >= 3 AND list_max(iv) > 0 AND list_min(iv) < 0 AND list_min(tv) > 0)"""
