@@ -4,8 +4,9 @@
    for calibration. Nothing else is sampled.
 2. Every whole text becomes the few of ``FEATURES`` chosen word, prefix and suffix features that it has, and shares of shouting,
    symbols, repeats and so on; these small rows are written once.
-3. In each of ``ROUNDS`` rounds both views score all unlabelled documents; the ``EXCHANGED`` surest ones of each class go as
-   pseudo-labels to the *other* view, if the view that gives them is at least ``SURE`` of them by its calibrated score.
+3. In each of ``ROUNDS`` rounds both views score all documents without a label, in one pass; the ``EXCHANGED`` surest different ones of
+   each class go as pseudo-labels to the *other* view and leave the pool, if the view that gives them is at least ``SURE`` of them by
+   its calibrated score. A view whose data say nothing about the class is never sure and gives nothing. Copies count as one document.
 4. Both views' calibrated log odds are combined by a logistic model fitted on the calibration rows, and all documents are scored.
 
 A document is good if its quality is 1 and it isn't toxic.
@@ -27,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import OWN, materialise
-from .words import SPACED, U, Words, byte_hashes, slices
+from .common import OWN, drop_table, materialise
+from .words import SPACED, U, Words, byte_hashes, mix, rolling, slices
 
 LABELLED, LEAST = 6000, 20
 FEATURES, LEAST_ROWS = 1024, 4
@@ -37,8 +38,10 @@ SIGNIFICANT = 6.63
 ROUNDS, EXCHANGED, SURE = 3, 200, 0.97
 _SPACE = 1 << 22
 _SHARES = 9
-_LANGS, _SOURCES = 16, 64
-_META = _LANGS + _SOURCES
+#: Hashed categories of metadata: language, source, both together, and the size's power of two.
+_LANGS, _SOURCES, _PAIRS, _SIZES = 16, 64, 128, 32
+_KINDS, _META = 4, _LANGS + _SOURCES + _PAIRS + _SIZES
+_DENSE = 4
 
 
 def text_rows(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,9 +75,14 @@ def text_rows(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _meta_rows(batch) -> tuple[np.ndarray, np.ndarray]:
-    hashed = lambda c, n: np.array([zlib.crc32((x or "\0").encode()) % n for x in batch.column(c).to_pylist()], np.int64)
-    size = np.log1p(np.maximum(np.array([x or 0 for x in batch.column(OWN + "size").to_pylist()], float), 0)) / 8
-    return np.stack([hashed(OWN + "lang", _LANGS), _LANGS + hashed(OWN + "source", _SOURCES)], axis=1), np.stack([size, size * size], axis=1).astype(np.float32)
+    """Categories (language, source, both, size) and numbers (size, its square, length and share of digits of the source's name)."""
+    lang, source = ([x or "\0" for x in batch.column(OWN + c).to_pylist()] for c in ("lang", "source"))
+    hashed = lambda names, n: np.array([zlib.crc32(x.encode()) % n for x in names], np.int64)
+    size = np.log1p(np.maximum(np.array([x or 0 for x in batch.column(OWN + "size").to_pylist()], float), 0))
+    category = [hashed(lang, _LANGS), _LANGS + hashed(source, _SOURCES), _LANGS + _SOURCES + hashed([f"{x}\0{y}" for x, y in zip(lang, source)], _PAIRS), _META - _SIZES + np.minimum(size / np.log(2), _SIZES - 1).astype(np.int64)]
+    name = np.array([len(x) for x in source], float)
+    digits = np.array([sum(c.isdigit() for c in x) for x in source], float) / np.maximum(name, 1)
+    return np.stack(category, axis=1), np.stack([size / 8, size * size / 64, name / 16, digits], axis=1).astype(np.float32)
 
 
 @dataclass
@@ -119,6 +127,7 @@ class Views:
 
     def __init__(self, share: float):
         self.share, self.chosen, self.text, self.meta, self.both = share, np.empty(0, np.int64), None, None, None
+        self.given: list[dict[tuple[str, int], list[int]]] = []  # of each round, the ids that a view gave as a class
 
     def choose(self, feature: np.ndarray, row: np.ndarray, y: np.ndarray) -> None:
         """The features whose presence says most about the class (G-squared on the fitted rows)."""
@@ -148,7 +157,7 @@ class Views:
 
 
 def _meta_flat(category: np.ndarray, dense: np.ndarray):
-    return category.ravel(), np.repeat(np.arange(len(category)), 2), dense
+    return category.ravel(), np.repeat(np.arange(len(category)), _KINDS), dense
 
 
 def _sample_rows(batches):
@@ -201,15 +210,48 @@ def _matrix(table) -> tuple[tuple, tuple]:
     """Both views' inputs from rows of compact features."""
     feature, size = _lists(table.column("feature"))
     text = feature, np.repeat(np.arange(len(size), dtype=np.int32), size), _stack(table.column("shares"), _SHARES)
-    return text, _meta_flat(_stack(table.column("category"), 2), _stack(table.column("size"), 2))
+    return text, _meta_flat(_stack(table.column("category"), _KINDS), _stack(table.column("size"), _DENSE))
 
 
-def _confidence(views):
+def _twins(batch) -> np.ndarray:
+    """Hashes of rows' features: copies have equal ones."""
+    feature, size = _lists(batch.column("feature"))
+    total = np.concatenate([np.zeros(1, U), np.cumsum(mix(feature.astype(U)))])[np.concatenate([[0], np.cumsum(size)])]
+    numbers = np.concatenate([_stack(batch.column("shares"), _SHARES).view(np.uint32), _stack(batch.column("category"), _KINDS).astype(np.uint32), _stack(batch.column("size"), _DENSE).view(np.uint32)], axis=1)
+    runs = rolling(numbers.astype(U).ravel(), numbers.shape[1])[:: numbers.shape[1]]
+    return mix(np.diff(total) + runs).view(np.int64)
+
+
+_ROW = "id long, feature array<int>, shares array<float>, category array<int>, size array<float>"
+
+
+def _surest(views, exchanged: int):
+    """Of a task's documents, the ``exchanged`` surest different ones of each view (0: text, 1: metadata) and class."""
+
     def run(batches):
+        held: dict[tuple[int, int], list] = {}
+
+        def cut(parts):
+            rows = pa.Table.from_batches(parts).sort_by([("doubt", "ascending"), ("id", "ascending")])
+            _, first = np.unique(rows.column("twin").to_numpy(), return_index=True)
+            return rows.take(pa.array(np.sort(first)[:exchanged])).combine_chunks().to_batches()
+
         for batch in batches:
-            if batch.num_rows:
-                p_text, p_meta, _ = views.value.scores(*_matrix(batch))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p_text), pa.array(p_meta)], names=[*batch.schema.names, "p_text", "p_meta"])
+            if not batch.num_rows:
+                continue
+            scores = views.value.scores(*_matrix(batch))
+            twin = None
+            for view in (0, 1):
+                for y in (0, 1):
+                    doubt = 1 - scores[view] if y else scores[view]
+                    at = np.flatnonzero(doubt <= 1 - SURE)
+                    if not len(at):
+                        continue
+                    twin = _twins(batch) if twin is None else twin
+                    own = pa.RecordBatch.from_arrays([*batch.take(pa.array(at)).columns, pa.array(np.full(len(at), view, np.int32)), pa.array(np.full(len(at), y, np.int32)), pa.array(doubt[at]), pa.array(twin[at])], names=[*batch.schema.names, "view", "y", "doubt", "twin"])
+                    held[view, y] = cut([*held.get((view, y), []), own])
+        for parts in held.values():
+            yield from parts
 
     return run
 
@@ -229,7 +271,7 @@ def _together(parts: list[tuple]) -> tuple:
     return np.concatenate(feature), np.concatenate(row), np.concatenate([d for *_, d in parts])
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", meta: tuple[str, str, str] = ("lang", "source", "n_chars"), labelled: int = LABELLED, rounds: int = ROUNDS) -> Views:
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", meta: tuple[str, str, str] = ("lang", "source", "n_chars"), labelled: int = LABELLED, rounds: int = ROUNDS, exchanged: int = EXCHANGED) -> Views:
     """Fit both views on a bounded labelled sample and on confident pseudo-labels from all documents."""
     spark = docs.sparkSession
     rows = _prepared(docs, doc_id, text, meta).select(*(OWN + c for c in ("id", "text", "lang", "source", "size")))
@@ -253,7 +295,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     (f, r, s), meta_cal = _matrix(part(~fitted))
     text_cal, y_cal = (*views.narrow(f, r), s), y[~fitted]
     text_parts, meta_parts, text_y, meta_y = [text_fit], [meta_fit], [y[fitted]], [y[fitted]]
-    compact = None
+    compact, given = None, []
     for k in range(rounds + 1):
         views.text = Logistic(len(views.chosen)).fit(*_together(text_parts), np.concatenate(text_y))
         views.meta = Logistic(_META).fit(*_together(meta_parts), np.concatenate(meta_y))
@@ -263,21 +305,29 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         views.both = Logistic(0).fit(np.empty(0, int), np.empty(0, int), both, y_cal, penalty=0)
         if k == rounds:
             break
-        kind = "id long, feature array<int>, shares array<float>, category array<int>, size array<float>"
         if compact is None:
-            free = rows.mapInArrow(_compact(spark.sparkContext.broadcast(views)), kind)
+            free = rows.mapInArrow(_compact(spark.sparkContext.broadcast(views)), _ROW)
             compact = materialise(free.join(F.broadcast(picked.select(F.col(OWN + "id").alias("id"))), "id", "left_anti"), "features")
-        scored = compact.mapInArrow(_confidence(spark.sparkContext.broadcast(views)), kind + ", p_text double, p_meta double")
-        given = 0
-        for p, parts, ys, which in (("p_text", meta_parts, meta_y, 1), ("p_meta", text_parts, text_y, 0)):
-            for y_new, sure in ((1.0, F.col(p) >= SURE), (0.0, F.col(p) <= 1 - SURE)):
-                best = scored.filter(sure).orderBy(F.col(p).desc() if y_new else F.col(p), "id").limit(EXCHANGED).drop("p_text", "p_meta").toArrow()
+        pool = compact
+        if given:  # at most 4 * exchanged a round
+            pool = compact.join(F.broadcast(spark.createDataFrame([(x,) for x in given], "id long")), "id", "left_anti")
+        sure = materialise(pool.mapInArrow(_surest(spark.sparkContext.broadcast(views), exchanged), _ROW + ", view int, y int, doubt double, twin long"), "sure")
+        found = {}
+        for view, parts, ys in ((0, meta_parts, meta_y), (1, text_parts, text_y)):
+            for y_new in (1, 0):
+                own = sure.filter((F.col("view") == view) & (F.col("y") == y_new))
+                best = own.groupBy("twin").agg(F.min(F.struct("doubt", "id", "feature", "shares", "category", "size")).alias("x")).select("x.*").orderBy("doubt", "id").limit(exchanged).toArrow()
                 if best.num_rows:
-                    parts.append(_matrix(best)[which])
-                    ys.append(np.full(best.num_rows, y_new))
-                    given += best.num_rows
-        if not given:
+                    parts.append(_matrix(best)[1 - view])
+                    ys.append(np.full(best.num_rows, float(y_new)))
+                found["metadata" if view else "text", y_new] = best.column("id").to_pylist()
+        drop_table(sure)
+        views.given.append(found)
+        given += [x for ids in found.values() for x in ids]
+        if not any(found.values()):
             break
+    if compact is not None:
+        drop_table(compact)
     return views
 
 
