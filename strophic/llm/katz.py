@@ -56,7 +56,7 @@ _TABLE = -1
 
 def _pack(*arrays: np.ndarray) -> bytes:
     """Arrays of one length, byte planes apart, compressed."""
-    planes = [a.view(np.uint8).reshape(len(a), -1).T.tobytes() for a in arrays]
+    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes() for a in arrays]
     return zstandard.compress(b"".join([len(arrays[0]).to_bytes(8, "little"), *planes]), 1)
 
 
