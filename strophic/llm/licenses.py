@@ -75,12 +75,13 @@ def _words(text: Column) -> Column:
 
 def _units(text: Column) -> Column:
     """Lines and paragraphs of several lines that have words: distinct words, number of words, whether a paragraph, whether the first."""
-    made = lambda parts, paragraph: F.transform(parts, lambda x, i: F.struct(F.array_distinct(_words(x)).alias("words"), F.size(_words(x)).alias("n"), F.lit(paragraph).alias("paragraph"), (i == 0).alias("first")))
     body = F.regexp_replace(F.lower(text), r"^[^a-z0-9]+", "")
-    lines = made(F.split(body, "\n"), False)
-    paragraphs = made(F.split(body, r"\n[ \t\r]*\n"), True)
-    several = F.transform(F.split(body, r"\n[ \t\r]*\n"), lambda x: F.instr(x, "\n") > 0)
-    return F.filter(F.concat(lines, F.filter(paragraphs, lambda x, i: several[i])), lambda x: x["n"] > 0)
+    marked = lambda parts, paragraph: F.transform(parts, lambda x, i: F.struct(x.alias("text"), F.lit(paragraph).alias("paragraph"), (i == 0).alias("first")))
+    several = F.filter(marked(F.split(body, r"\n[ \t\r]*\n"), True), lambda x: F.instr(x["text"], "\n") > 0)
+    # each unit is split once
+    split = F.transform(F.concat(marked(F.split(body, "\n"), False), several), lambda x: F.struct(_words(x["text"]).alias("all"), x["paragraph"].alias("paragraph"), x["first"].alias("first")))
+    units = F.filter(split, lambda x: F.size(x["all"]) > 0)
+    return F.transform(units, lambda x: F.struct(F.array_distinct(x["all"]).alias("words"), F.size(x["all"]).alias("n"), x["paragraph"].alias("paragraph"), x["first"].alias("first")))
 
 
 def frequencies(docs: DataFrame) -> DataFrame:
