@@ -66,11 +66,19 @@ def row_limit(kind: Column, total: Column, rank: Column, robust: bool = True) ->
     return F.least(total, cap)
 
 
+#: Tasks that share the postings of one token before its cap is applied to what they keep.
+SALTS = 64
+
+
 def capped_postings(postings: DataFrame, limits: DataFrame) -> DataFrame:
-    """Postings of the query's tokens, the first ``cap`` of each in ingest order; the query side is a few rows."""
+    """Postings of the query's tokens, the first ``cap`` of each in ingest order; the query side is a few rows.
+
+    A hot token is cut in two steps, first within shares of the streams, so that one task sorts ``SALTS`` times its cap at most.
+    """
     mine = postings.join(F.broadcast(limits.select("token", "cap", F.col("pos").alias("qpos"), "kind")), ["token", "kind"])
-    order = Window.partitionBy("token", "qpos").orderBy("sid", "pos")
-    return mine.withColumn("seq", F.row_number().over(order)).filter("seq <= cap")
+    order = lambda *more: Window.partitionBy("token", "qpos", *more).orderBy("sid", "pos")
+    shares = mine.withColumn("salt", F.pmod(F.hash("sid"), F.lit(SALTS))).withColumn("seq", F.row_number().over(order("salt"))).filter("seq <= cap")
+    return shares.drop("salt").withColumn("seq", F.row_number().over(order())).filter("seq <= cap")
 
 
 def overlap(query: Column, candidate: Column) -> Column:

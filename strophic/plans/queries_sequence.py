@@ -201,7 +201,7 @@ def token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def retrieve_aligned_start(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship posting join; evidence per stream and aligned start."""
     n = _notes(spark, sf_dir)
-    return retrieval.evidence(tokens.tokens(n), _query_tokens(n)).select("sid", "start", "evidence", "interval_hits", "interval_evidence", "rhythm_hits", "positions")
+    return retrieval.evidence(tokens.tokens(n), _query_tokens(n), 11).select("sid", "start", "evidence", "interval_hits", "interval_evidence", "rhythm_hits", "positions")
 
 
 @query(f"WITH {_HITS_SQL} SELECT sid, count(DISTINCT qpos) AS contours FROM hits WHERE kind = 'c' GROUP BY sid")
@@ -216,7 +216,7 @@ def contour_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def adjacent_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four-interval seeds as intersections of neighbouring three-interval ones."""
     n = _notes(spark, sf_dir)
-    return retrieval.adjacent_seeds(tokens.tokens(n), _query_tokens(n))
+    return retrieval.adjacent_seeds(tokens.tokens(n), _query_tokens(n), 11)
 
 
 def _candidates(n: DataFrame) -> DataFrame:
@@ -251,7 +251,7 @@ un AS (SELECT * FROM l0 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2),
 
 def _scan_streams(n: DataFrame) -> tuple[DataFrame, DataFrame]:
     c = _candidates(n)
-    e = retrieval.evidence(tokens.tokens(n), _query_tokens(n))
+    e = retrieval.evidence(tokens.tokens(n), _query_tokens(n), 11)
     return c, retrieval.full_scan_streams([(c, "evidence", 10), (e, "interval_evidence", 8), (e, "rhythm_hits", 6)])
 
 
