@@ -105,24 +105,26 @@ def _transformations(a: Motif, b: Motif, path: list, pairs: list, found: dict) -
     return [tag for tag, holds in tags.items() if holds]
 
 
-_OUT = pa.schema([("sid", pa.int64()), ("rank", pa.int32()), *((x, pa.int32()) for x in FIELDS), ("transformations", pa.string())])
+_OUT = pa.schema([("sid", pa.int64()), ("start", pa.int64()), *((x, pa.int32()) for x in FIELDS), ("transformations", pa.string())])
 
 
-def _compared(batches):
-    for batch in batches:
-        rows = [r | compare(r["best"], r["notes"]) for r in batch.to_pylist()]
-        for r in rows:
-            r["transformations"] = ",".join(r["transformations"])
-        yield pa.RecordBatch.from_pylist([{c: r[c] for c in _OUT.names} for r in rows], schema=_OUT)
+def _compared(base: list[dict]):
+    def run(batches):
+        for batch in batches:
+            rows = [r | compare(base, r["notes"]) for r in batch.to_pylist()]
+            for r in rows:
+                r["transformations"] = ",".join(r["transformations"])
+            yield pa.RecordBatch.from_pylist([{c: r[c] for c in _OUT.names} for r in rows], schema=_OUT)
 
+    return run
 
-def compare_ranked(notes: DataFrame, ranked: DataFrame) -> DataFrame:
-    """Each ranked motif (``sid``, ``rank``, ``first``, ``length``) of a stream against the motif of rank 1.
 
-    A row has the notes of two motifs, 24 at most by the motifs' length; streams without motifs give no rows.
+def compare_passages(notes: DataFrame, passages: DataFrame, base: list[dict], length: int) -> DataFrame:
+    """Each passage (``sid``, ``start``) of ``length`` notes against the notes of ``base``; a row has one passage's notes.
+
+    Passages beyond a stream's end are compared with the notes they have; those without any give no rows.
     """
-    at = ranked.select("sid", "rank", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("length") - 1)).alias("pos"))
-    own = at.join(notes.select("sid", "pos", "p", "d", "o"), ["sid", "pos"]).groupBy("sid", "rank").agg(F.array_sort(F.collect_list(F.struct("pos", "p", "d", "o"))).alias("notes"))
-    best = own.filter("rank = 1").select("sid", F.col("notes").alias("best"))
-    kinds = ", ".join([f"{x} int" for x in FIELDS])
-    return own.join(best, "sid").select(F.col("sid").cast("long").alias("sid"), F.col("rank").cast("int").alias("rank"), "notes", "best").mapInArrow(_compared, f"sid long, rank int, {kinds}, transformations string")
+    at = passages.select("sid", "start", F.explode(F.sequence(F.col("start"), F.col("start") + length - 1)).alias("pos"))
+    own = at.join(notes.select("sid", "pos", "p", "d", "o"), ["sid", "pos"]).groupBy("sid", "start").agg(F.array_sort(F.collect_list(F.struct("pos", "p", "d", "o"))).alias("notes"))
+    kinds = ", ".join(f"{x} int" for x in FIELDS)
+    return own.select(F.col("sid").cast("long").alias("sid"), F.col("start").cast("long").alias("start"), "notes").mapInArrow(_compared(base), f"sid long, start long, {kinds}, transformations string")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strophic.operators import comparison, motifs, pairing, phrase
+from strophic.operators import comparison, pairing, phrase
 from strophic.plans.queries_sequence import _LOCAL_SQL
 from strophic.plans.registry import query
 from strophic.sources.adapters import NOTES_SQL, QUERY_SQL, event_notes, query_notes, table
@@ -76,7 +76,7 @@ def phrase_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def motif_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ranked motifs of each stream against its best one."""
+    """The query against the closest passage of each stream."""
     n = event_notes(spark, sf_dir)
-    ranked = motifs.ranked_motifs(n).select("sid", "rank", "first", "length")
-    return comparison.compare_ranked(n, ranked)
+    base = [r.asDict() for r in query_notes(n).select("pos", "p", "d", "o").orderBy("pos").collect()]  # the 11 notes of the query
+    return comparison.compare_passages(n, pairing.closest_window(n, [r["p"] for r in base]), base, len(base))

@@ -88,3 +88,18 @@ def test_motif_transformations():
     repeated = comparison.compare(base, motif([60, 64, 64, 62, 67], [1.0, 0.5, 0.5, 0.5, 1.0]))
     assert repeated["coverage"] == 80 and {"ornament-insertion", "repeat-expansion"} <= set(repeated["transformations"])
     assert comparison.compare([], base)["similarity"] == 0 and comparison.compare(base, [])["path"] == []
+
+
+def test_passages_are_compared_as_motifs(spark):
+    base = motif([60, 64, 62, 67], [1.0, 0.5, 0.5, 1.0])
+    other = motif([59, 65, 69, 67, 72, 50], [2.0, 1.0, 0.5, 0.5, 1.0, 1.0])
+    rows = [(s, k, n["p"], n["d"], n["o"]) for s, notes in ((1, base), (2, other)) for k, n in enumerate(notes)]
+    notes = spark.createDataFrame(rows, "sid long, pos int, p int, d double, o double")
+    passages = spark.createDataFrame([(1, 0), (2, 1), (2, 4), (2, 9)], "sid long, start int")
+    got = {(r["sid"], r["start"]): r for r in comparison.compare_passages(notes, passages, base, 4).collect()}
+    assert set(got) == {(1, 0), (2, 1), (2, 4)}
+    for (sid, start), r in got.items():
+        expected = comparison.compare(base, {1: base, 2: other}[sid][start : start + 4])
+        assert {x: r[x] for x in comparison.FIELDS} == {x: expected[x] for x in comparison.FIELDS}
+        assert r["transformations"] == ",".join(expected["transformations"])
+    assert got[2, 1]["transformations"] == "transposition"
