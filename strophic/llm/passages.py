@@ -149,7 +149,10 @@ def claims(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> tuple
 
 
 def _merge(batches):
-    """Claims, sorted by document, source, shift and place, whose words run on in the same source become passages, cut to patterns."""
+    """Claims, sorted by document, source, shift and place, whose words run on in the same source become passages, cut to patterns.
+
+    A document gets each passage once, however often its words recur there: the automaton finds all places.
+    """
     step = PATTERN - WINDOW + 1
     for batch in whole_runs(batches, ("id",)):
         doc, src, shift, first, number = (np.asarray(batch.column(c)).astype(np.int64) for c in ("id", "src", "shift", "first", "number"))
@@ -166,7 +169,12 @@ def _merge(batches):
         x = np.repeat(a, pieces) + place * step
         size = np.minimum(PATTERN, np.repeat(end, pieces) - x)
         own = at.repeat(pieces)
-        yield pa.RecordBatch.from_arrays([pa.array(doc[own]), pa.array(src[own]), pa.array((x + shift[own]).astype(np.int32)), pa.array(size.astype(np.int32))], names=["id", "src", "src_first", "words"])
+        rows = np.stack([doc[own], src[own], x + shift[own], size])
+        rows = rows[:, np.lexsort(rows[::-1])]
+        once = np.ones(rows.shape[1], bool)
+        once[1:] = (rows[:, 1:] != rows[:, :-1]).any(0)
+        doc, src, first, size = rows[:, once]
+        yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(src), pa.array(first.astype(np.int32)), pa.array(size.astype(np.int32))], names=["id", "src", "src_first", "words"])
     release_memory()
 
 
