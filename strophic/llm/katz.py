@@ -380,12 +380,12 @@ def _blocks_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def _with_answers(blocks: DataFrame, answers: list[DataFrame]) -> DataFrame:
-    """Each block with what it was told; that is bounded by the block's size."""
-    told = answers[0]
-    for more in answers[1:]:
-        told = told.unionByName(more)
-    own = told.repartition(buckets_of(blocks), "block").groupBy("block").agg(F.collect_list(F.struct("kind", "order", "range", "payload")).alias("answers"))
-    return blocks.join(own, "block")
+    """Each block with what it was told; that is bounded by the block's size. Answers come dealt by block like the blocks, so nothing travels."""
+    out, told = blocks, [f"told{k}" for k in range(len(answers))]
+    for name, table in zip(told, answers):
+        own = table.groupBy("block").agg(F.collect_list(F.struct("kind", "order", "range", "payload")).alias(name))
+        out = out.join(own, "block", "left")  # a block may have no context to ask for
+    return out.select(*blocks.columns, F.flatten(F.filter(F.array(*told), lambda x: x.isNotNull())).alias("answers"))
 
 
 class _Run:
@@ -393,13 +393,13 @@ class _Run:
 
     def __init__(self, docs: DataFrame, doc_id: str, text: str, order: int, fold: int, folds: int, cutoff: int, keep: bool):
         spark, self.order, self.fold, self.folds = docs.sparkSession, order, fold, folds
-        self.ranges, self.answers, self.tables, self.written, stats = parts_for(docs, 0.5, 16), [], [], [], []
+        self.ranges, self.answers, self.tables, self.written, self.keep, stats = parts_for(docs, 0.5, 16), [], [], [], keep, []
         self.blocks = _blocks_of(docs, doc_id, text)
         for m in range(1, order + 1):
             sent = self.blocks.mapInArrow(_count(m, self.ranges, fold, folds), _MANY)
             added = materialise(sent.groupBy("range").applyInArrow(_add_up(m, keep), _MANY), f"counts{m}", compression="uncompressed")
-            self.told(m, "count", added)
             numbers = [np.frombuffer(r["payload"], np.int64) for r in added.filter("block IS NULL").select("payload").collect()]  # K + 4 numbers a range
+            self.told(m, "count", added)
             stats.append(sum(numbers, np.zeros(K + 4, np.int64)))
             self.model = Model(m, stats, cutoff)
             goes = min(m - 1, GOES)
@@ -409,10 +409,16 @@ class _Run:
                 self.told(m, "weight", materialise(sums.groupBy("range").applyInArrow(_weights(keep), _MANY), f"weights{m}", compression="uncompressed"))
 
     def told(self, order: int, kind: str, table: DataFrame) -> None:
-        self.written.append(table)
+        """Answers, written by range, are written again by block; so they travel once, when what they were made of has gone."""
         own = table.select("block", F.lit(kind).alias("kind"), F.lit(order).alias("order"), "range", "payload")
-        self.answers.append(own.filter(F.col("block") > _TABLE))
-        self.tables.append(own.filter(F.col("block") == _TABLE).drop("block"))
+        answers = bucketed(own.filter(F.col("block") > _TABLE), f"told_{kind}{order}", "block", buckets_of(self.blocks), compression="uncompressed")
+        self.answers.append(answers)
+        self.written.append(answers)
+        if self.keep:
+            self.written.append(table)
+            self.tables.append(own.filter(F.col("block") == _TABLE).drop("block"))
+        else:
+            drop_table(table)
 
     def scores(self) -> DataFrame:
         model = self.blocks.sparkSession.sparkContext.broadcast(self.model)
@@ -488,7 +494,8 @@ def evaluate(docs: DataFrame, model: Model, tables: DataFrame, doc_id: str = "do
     for m in range(1, model.order + 1):
         asked = blocks.mapInArrow(_ask(m, model.ranges), _MANY)
         own = tables.filter(((F.col("kind") == "count") & (F.col("order") == m)) | ((F.col("kind") == "weight") & (F.col("order") == m + 1))).select("range", "kind", "payload")
-        told.append(asked.groupBy("range").cogroup(own.groupBy("range")).applyInArrow(_reply(m, model.order, model.cutoff), "block long, " + _TABLES))
+        replies = asked.groupBy("range").cogroup(own.groupBy("range")).applyInArrow(_reply(m, model.order, model.cutoff), "block long, " + _TABLES)
+        told.append(replies.repartition(buckets_of(blocks), "block"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     out = materialise(_with_answers(blocks, told).mapInArrow(_scores(model.order, shared, -1, 1), _SCORES), "scores")
     drop_table(blocks)
