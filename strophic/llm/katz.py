@@ -80,6 +80,24 @@ def _unpack_keyed(raw: bytes, *kinds: str) -> list[np.ndarray]:
     return [np.cumsum(steps), *more]
 
 
+def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, ascending, and each value's place among them."""
+    by = np.argsort(keys)
+    own = keys[by]
+    new = np.ones(len(own), bool)
+    new[1:] = own[1:] != own[:-1]
+    back = np.empty(len(keys), np.int32)
+    back[by] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return own[new], back
+
+
+def _first_of(back: np.ndarray, n: int, none: int = -1) -> np.ndarray:
+    """Where each of ``n`` places comes first; ``none`` if it doesn't."""
+    out = np.full(n, none)
+    out[back[::-1]] = np.arange(len(back))[::-1]  # the last assignment stays
+    return out
+
+
 _BLOCKS = "block long, ids array<long>, sizes binary, words binary, places binary"
 
 
@@ -130,7 +148,7 @@ class Block:
         self.held = np.array([zlib.crc32(b"" if x is None else str(x).encode()) % folds == fold for x in self.ids], bool)
         self.tokens, self.train = keys[back[:-1]], np.repeat(~self.held, self.n_tokens)
         self._grams: list[np.ndarray] = [self.tokens]
-        self._distinct: dict[int, tuple] = {1: self._counted(keys, back)}
+        self._distinct: dict[int, tuple] = {1: (keys, back)}
 
     def grams(self, order: int) -> np.ndarray:
         """The hash of the ``order`` tokens that end at each token; start marks fill up."""
@@ -147,18 +165,22 @@ class Block:
         out[self.first] = _start(size)
         return out
 
-    def distinct(self, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct n-grams, contexts of first tokens (start marks alone) included; the place of each token's; training counts."""
-        if order in self._distinct:
-            return self._distinct[order]
-        keys, back = np.unique(np.append(self.grams(order), _start(order)), return_inverse=True)
-        self._distinct[order] = self._counted(keys, back.astype(np.int32))
+    def distinct(self, order: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct n-grams, contexts of first tokens (start marks alone) included; the place of each token's."""
+        keys, back = self._all(order)
+        return keys, back[:-1]
+
+    def _all(self, order: int) -> tuple[np.ndarray, np.ndarray]:
+        if order not in self._distinct:
+            self._distinct[order] = _numbered(np.append(self.grams(order), _start(order)))
         return self._distinct[order]
 
-    def _counted(self, keys: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def counts(self, order: int) -> np.ndarray:
+        """Training counts of the distinct n-grams."""
+        keys, back = self._all(order)
         counts = np.bincount(back[:-1], self.train, len(keys)).astype(np.uint32)
         counts[back[-1]] = (~self.held).sum()  # start marks alone are a context once a document
-        return keys, back[:-1], counts
+        return counts
 
 
 def _start(size: int) -> np.uint64:
@@ -185,8 +207,8 @@ def _count(order: int, ranges: int, fold: int, folds: int):
     def run(batches):
         for batch in batches:
             for row in _one_by_one(batch):
-                keys, _, counts = Block(row, fold, folds).distinct(order)
-                yield _rows(row["block"], ranges, keys, counts)
+                block = Block(row, fold, folds)
+                yield _rows(row["block"], ranges, block.distinct(order)[0], block.counts(order))
         release_memory()
 
     return run
@@ -205,11 +227,11 @@ def _add_up(order: int, keep: bool):
     def run(table: pa.Table) -> pa.Table:
         parts = [_unpack_keyed(x, "<u4") for x in table.column("payload").to_pylist()]
         keys = np.concatenate([k for k, _ in parts])
-        own, back = np.unique(keys, return_inverse=True)
+        own, back = _numbered(keys)
         total = np.bincount(back, np.concatenate([c for _, c in parts]), len(own)).astype(np.int64)
         # the first block that has an n-gram speaks for it later; what one block alone has it weighs itself
         first = np.zeros(len(keys), bool)
-        first[np.unique(back, return_index=True)[1]] = True
+        first[_first_of(back, len(own))] = True
         alone = (np.bincount(back) == 1)[back] & (not keep)
         answer, bounds = (total[back] << 2 | alone << 1 | first).astype(np.int64), np.cumsum([0, *(len(k) for k, _ in parts)])
         start = own == _start(order)
@@ -271,20 +293,19 @@ class Answers:
 
 def _evaluate(block: Block, answers: Answers, model: Model, order: int, weighed: bool = True):
     """p(token | order - 1 tokens before it) of each token; the parts that the highest order needs for its weights, if it isn't ``weighed`` yet."""
-    keys, back, _ = block.distinct(1)
+    keys, back = block.distinct(1)
     told = answers.get("count", 1, "<i8")
-    count = (told >> 2)[back]
-    p = model.unigram(count)
+    count = told >> 2
+    p, count = model.unigram(count)[back], count[back]
     state = None
     for m in range(2, order + 1):
         context_keys, context_told = keys, told
         at = np.concatenate([[0], back[:-1]])  # the context is the gram before; of first tokens, start marks
         at[block.first] = np.searchsorted(context_keys, _start(m - 1))
-        keys, back, _ = block.distinct(m)
+        keys, back = block.distinct(m)
         told = answers.get("count", m, "<i8")
-        kept, contexts = model.kept(m, (told >> 2)[back]), context_told >> 2
-        one = np.full(len(keys), -1)
-        one[back[::-1]] = np.arange(len(back))[::-1]  # a token of each n-gram
+        kept, contexts = model.kept(m, told >> 2)[back], context_told >> 2
+        one = _first_of(back, len(keys))  # a token of each n-gram
         own = np.flatnonzero(one >= 0)
         own = own[kept[one[own]] > 0]
         state = (at, one, own, told, context_told, kept, p)
@@ -327,7 +348,7 @@ def _context_sums(order: int, ranges: int, model, fold: int, folds: int, go: int
                 block, answers = Block(row, fold, folds), Answers(row["answers"])
                 _, _, (at, one, own, told, context_told, kept, lower) = _evaluate(block, answers, model.value, order, weighed=False)
                 own = own[(told[own] & 1) == 1]
-                keys, _, _ = block.distinct(order - 1)
+                keys, _ = block.distinct(order - 1)
                 total = context_told >> 2
                 mass, low = _sums(at, one[own], kept, lower, len(keys))
                 ask = _open(total, model.value.cutoff) & ((context_told >> 1 & 1) == 0)
@@ -343,8 +364,9 @@ def _weights(keep: bool):
 
     def run(table: pa.Table) -> pa.Table:
         parts = [_unpack_keyed(x, "<i8", "<f8", "<f8") for x in table.column("payload").to_pylist()]
-        own, one, back = np.unique(np.concatenate([k for k, *_ in parts]), return_index=True, return_inverse=True)
-        count = np.concatenate([c for _, c, _, _ in parts])[one]
+        own, back = _numbered(np.concatenate([k for k, *_ in parts]))
+        count = np.empty(len(own), np.int64)
+        count[back] = np.concatenate([c for _, c, _, _ in parts])  # a context's count is the same everywhere
         mass, low = np.bincount(back, np.concatenate([x for _, _, x, _ in parts])), np.bincount(back, np.concatenate([x for _, _, _, x in parts]))
         weight = _weight(count, mass, low)
         bounds, told = np.cumsum([0, *(len(k) for k, *_ in parts)]), weight[back]
@@ -454,7 +476,7 @@ def _ask(order: int, ranges: int):
     def run(batches):
         for batch in batches:
             for row in _one_by_one(batch):
-                keys, _, _ = Block(row, -1, 1).distinct(order)
+                keys, _ = Block(row, -1, 1).distinct(order)
                 yield _rows(row["block"], ranges, keys)
 
     return run
